@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, exact, exchange as X, mixing, substring, urls
+from . import decontam, exact, exchange as X, mixing, neardup, substring, urls
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.dedup_near(X.documents(spark, sf_dir), width=3, percent=85)
+
+
 def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.decontaminate(X.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -64,6 +68,16 @@ SELECT doc_id, min(doc_id) OVER p AS keep_id, (count(*) OVER p)::BIGINT AS group
 FROM d WINDOW p AS (PARTITION BY text_sha256)"""
 
 
+NEARDUP_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, k FROM (SELECT doc_id, array_to_string(w[p:p+least(len(w), 3)-1], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS p FROM d WHERE len(w) > 0))),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+e AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.k = y.k AND x.doc_id <> y.doc_id GROUP BY ALL) JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 85 * (na.n + nb.n - i)),
+r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.m AS component_id, d.doc_id = c.m AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) c ON c.a = d.doc_id"""
+
+
 def _urls_sql() -> str:
     low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     has = lambda t: f"regexp_matches(t, '(^|[^a-z0-9]){t}($|[^a-z0-9])')"
@@ -100,4 +114,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": MIXING_SQL, "op2_substring": SUBSTRING_SQL, "op3_exact": EXACT_SQL, "op4_urls": _urls_sql(), "op9_decontam": DECONTAM_SQL}
+    return {"op1_mixing": MIXING_SQL, "op2_substring": SUBSTRING_SQL, "op3_exact": EXACT_SQL, "op4_urls": _urls_sql(), "op5_neardup": NEARDUP_SQL, "op9_decontam": DECONTAM_SQL}
