@@ -78,13 +78,13 @@ def pieces(off: np.ndarray, limit: int):
         i = min(j, n)
 
 
-def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(buf: np.ndarray, off: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, first): byte spans of the words of all rows, and each row's first word (one more at the end).
-    Words are maximal runs of bytes other than space, tab, LF, VT, FF and CR; none crosses a row."""
+    Words are maximal runs of bytes that are not `between` words (space, tab, LF, VT, FF, CR); none crosses a row."""
     n = len(buf)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    solid = ~SPACE[buf]
+    solid = ~between[buf]
     start, end = solid.copy(), solid.copy()
     start[1:] &= ~solid[:-1]
     end[:-1] &= ~solid[1:]

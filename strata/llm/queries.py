@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, exact, exchange as X, mixing, neardup, substring, urls
+from . import decontam, exact, exchange as X, mixing, neardup, substring, suffix, toxicity, urls
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,12 +27,22 @@ def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.dedup_near(X.documents(spark, sf_dir), width=3, percent=85)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = X.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = toxicity.train(docs.filter(~out), labels.filter(~out))
+    return toxicity.score(docs, model).select("doc_id", out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.decontaminate(X.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup_bytes(X.documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 
 MIXING_SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
