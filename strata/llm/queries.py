@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, exact, exchange as X, mixing, neardup, substring, suffix, toxicity, urls
+from . import decontam, exact, exchange as X, lm, mixing, neardup, substring, suffix, toxicity, urls
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.dedup_near(X.documents(spark, sf_dir), width=3, percent=85)
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    return lm.score(X.documents(spark, sf_dir), ~held_out)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = X.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
