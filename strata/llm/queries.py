@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, exact, exchange as X, lm, mixing, neardup, substring, suffix, toxicity, urls
+from . import decontam, exact, exchange as X, langid, lm, mixing, neardup, substring, suffix, toxicity, urls
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(X.documents(spark, sf_dir), ~held_out)
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(spark.read.parquet(f"{sf_dir}/pages.parquet"), X.documents(spark, sf_dir))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = X.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -124,8 +128,14 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN pos ON pos.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id"""
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
+    return {k: f for k, f in globals().items() if k == "pipeline" or k.startswith("op") and k[2:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
