@@ -38,12 +38,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def spans_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Rabin-Karp: polynomial hashes of values[start:end] for all spans at once, from one running sum."""
-    n = len(values)
-    run = np.zeros(n + 1, dtype=U64)
-    np.cumsum(values * powers(_P, n), out=run[1:])
-    return mix((run[end] - run[start]) * powers(_PINV, n + 1)[start] + (end - start).astype(U64))
+def spans_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """Rabin-Karp: polynomial hashes of values[start:end] for all spans, from running sums. values: 64-bit, or bytes.
+    Spans are taken `block` positions at a time, so memory follows the block and the longest span."""
+    out = np.empty(len(start), dtype=U64)
+    if not len(start):
+        return out
+    order = None
+    if np.any(start[1:] < start[:-1]):
+        order = np.argsort(start, kind="stable")
+        start, end = start[order], end[order]
+    i = 0
+    while i < len(start):
+        lo = int(start[i])
+        j = int(np.searchsorted(start, lo + block))
+        part = values[lo : int(end[i:j].max())]
+        part = _BYTE[part] if part.dtype == np.uint8 else part
+        n = len(part)
+        run = np.zeros(n + 1, dtype=U64)
+        np.cumsum(part * powers(_P, n), out=run[1:])
+        s, e = start[i:j] - lo, end[i:j] - lo
+        out[i:j] = (run[e] - run[s]) * powers(_PINV, n + 1)[s] + (e - s).astype(U64)
+        i = j
+    out = mix(out)
+    if order is not None:
+        back = np.empty_like(out)
+        back[order] = out
+        return back
+    return out
 
 
 def buffers(column) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +118,7 @@ def words(buf: np.ndarray, off: np.ndarray, between: np.ndarray = SPACE) -> tupl
 
 
 def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return spans_hash(_BYTE[buf], start, end)
+    return spans_hash(buf, start, end)
 
 
 def window_hashes(values: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

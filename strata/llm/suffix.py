@@ -128,6 +128,35 @@ def collapse(ids, start, n, h, id_bits):
 
 
 def cut_segments(width: int, bits: int, id_bits: int, hot: np.ndarray):
+    def cut_piece(own, buf, off, some, pos, lo, hi) -> list[tuple]:
+        sub = np.concatenate([buf[off[k] : off[k + 1]] for k in some.tolist()])
+        base = np.concatenate([[0], np.cumsum((off[1:] - off[:-1])[some])])
+        row, start, n, at, h = segments(sub, base, width)
+        want = np.zeros(len(sub), bool)
+        for r, k in enumerate(some.tolist()):
+            p = pos[lo[k] : hi[k]] + base[r]
+            want[p[p < base[r + 1]]] = True
+        ok = want[at]
+        row, start, n, h = row[ok], start[ok], n[ok], h[ok]
+        single = np.isin(h, hot)
+        if single.any():
+            r, s, c = row[single], start[single], n[single]
+            s = np.repeat(s, c) + K.ranges(c)
+            row, start, n = np.concatenate([row[~single], np.repeat(r, c)]), np.concatenate([start[~single], s]), np.concatenate([n[~single], np.ones(len(s), np.int64)])
+            h = np.concatenate([h[~single], K.spans_hash(sub, s, s + width)])
+        if not len(row):
+            return []
+        doc, rel = own[some][row], start - base[row]
+        name = K.spans_hash(sub, start, start + n + width - 1) ^ K.mix(h)
+        keep, gone = collapse(doc, rel, n, name, id_bits)
+        rows = [(r[0] & (1 << bits) - 1, *r[1:5], X.pack_ints(np.array([r[0]]))) for r in gone]
+        for b, k in X.by_bucket(X.top_bits(h[keep], bits)):
+            k = keep[k]
+            size = n[k] + width - 1
+            body = sub[np.repeat(start[k], size) + K.ranges(size)]
+            rows.append((b, 0, X.pack_ints(doc[k]), X.pack_ints(rel[k]), X.pack_ints(n[k]), X.squeeze(body)))
+        return rows
+
     def run(texts: pa.Table, marks: pa.Table) -> pa.Table:
         ids, pos = X.unpack_places(marks)
         rows = []
@@ -138,32 +167,9 @@ def cut_segments(width: int, bits: int, id_bits: int, hot: np.ndarray):
             some = np.flatnonzero((hi > lo) & ~none)
             if not len(some):
                 continue
-            sub = np.concatenate([buf[off[k] : off[k + 1]] for k in some.tolist()])
-            base = np.concatenate([[0], np.cumsum((off[1:] - off[:-1])[some])])
-            row, start, n, at, h = segments(sub, base, width)
-            want = np.zeros(len(sub), bool)
-            for r, k in enumerate(some.tolist()):
-                p = pos[lo[k] : hi[k]] + base[r]
-                want[p[p < base[r + 1]]] = True
-            ok = want[at]
-            row, start, n, h = row[ok], start[ok], n[ok], h[ok]
-            single = np.isin(h, hot)
-            if single.any():
-                r, s, c = row[single], start[single], n[single]
-                s = np.repeat(s, c) + K.ranges(c)
-                row, start, n = np.concatenate([row[~single], np.repeat(r, c)]), np.concatenate([start[~single], s]), np.concatenate([n[~single], np.ones(len(s), np.int64)])
-                h = np.concatenate([h[~single], K.spans_hash(K._BYTE[sub], s, s + width)])
-            if not len(row):
-                continue
-            doc, rel = own[some][row], start - base[row]
-            name = K.spans_hash(K._BYTE[sub], start, start + n + width - 1) ^ K.mix(h)
-            keep, gone = collapse(doc, rel, n, name, id_bits)
-            rows += [(r[0] & (1 << bits) - 1, *r[1:5], X.pack_ints(np.array([r[0]]))) for r in gone]
-            for b, k in X.by_bucket(X.top_bits(h[keep], bits)):
-                k = keep[k]
-                size = n[k] + width - 1
-                body = sub[np.repeat(start[k], size) + K.ranges(size)]
-                rows.append((b, 0, X.pack_ints(doc[k]), X.pack_ints(rel[k]), X.pack_ints(n[k]), X.squeeze(body)))
+            size = np.concatenate([[0], np.cumsum((off[1:] - off[:-1])[some])])
+            for p, q in K.pieces(size, X.PIECE):
+                rows += cut_piece(own, buf, off, some[p:q], pos, lo, hi)
         return X.table(rows)
 
     return run
@@ -260,7 +266,7 @@ def resolve(width: int, id_bits: int):
         ids, start, n, body = (np.concatenate(x) for x in zip(*parts))
         size = n + width - 1
         first = np.cumsum(size) - size
-        keep, gone = collapse(ids, start, n, K.spans_hash(K._BYTE[body], first, first + size), id_bits)
+        keep, gone = collapse(ids, start, n, K.spans_hash(body, first, first + size), id_bits)
         rows += gone
         ids, start, n, size, first = ids[keep], start[keep], n[keep], size[keep], first[keep]
         text = np.zeros(int(size.sum()) + len(size), np.uint16)
@@ -322,6 +328,6 @@ def dedup_bytes(docs: DataFrame, width: int = 100, hot: int = 100_000) -> DataFr
     hottest = [np.frombuffer(r["h"], "<u8") for r in found.filter("kind = 2").select("h").collect()]
     hottest = np.concatenate(hottest) if hottest else np.zeros(0, np.uint64)
     texts = docs.mapInArrow(X.pack_texts(bits), X.PACKED)
-    cuts = texts.groupBy("bucket").cogroup(found.filter("kind = 1").groupBy("bucket")).applyInArrow(cut_segments(width, bits + 1, bits, hottest), X.PACKED)
+    cuts = texts.groupBy("bucket").cogroup(found.filter("kind = 1").groupBy("bucket")).applyInArrow(cut_segments(width, bits + 3, bits, hottest), X.PACKED)
     marks = cuts.groupBy("bucket").applyInArrow(resolve(width, bits), X.PACKED)
     return texts.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(strip(width), OUT)
