@@ -43,7 +43,7 @@ def anchors(buf: np.ndarray, width: int):
         h = K.byte_hashes(buf[s : e + width - 1], GRAM)
         low = K.sliding_min((h & ~MASK) | np.arange(len(h), dtype=np.uint64), width - GRAM + 1)
         at = (low & MASK).astype(np.int64)
-        yield s, at + s, h[at]
+        yield s, at + s, K.mix(h[at])  # minima are small numbers; mixed again, they fill all buckets alike
 
 
 def segments(buf: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
