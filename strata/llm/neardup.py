@@ -9,8 +9,10 @@ out, so the search for errors is an equality join.
 
 Rows with the same shingle set are one class before any search. Within a bucket of the index no pairs are
 listed. Members are linked to the bucket's least and greatest id; links are confirmed on the full sets and
-merged into components; only pairs of a bucket that lie in different components then remain, and are
-compared by signature and confirmed as well. No partner or candidate is capped.
+merged into components. Members of a bucket with several components remain. Two similar sets cannot differ
+in all of their rarest shingles (as many as a set may lack, and one), so of the remaining pairs only those
+in different components that share one of these are compared, by signature and on their full sets. No
+partner or candidate is capped.
 
 For sets exactly at 85 % and the default parameters the signature distance exceeds the threshold with a
 probability below 1e-4; at 90 % below 1e-8.
@@ -158,15 +160,58 @@ def similar(percent: int):
     return run
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar on their full sets."""
-    ids = X.cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    wanted = docs.join(X.small_side(ids), "doc_id", "left_semi").select("doc_id", "text")
-    sets = X.cut(wanted.mapInArrow(full_sets(width), "doc_id long, s binary").dropDuplicates(["doc_id"]))
+def sets_of(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, s): the full sets of the documents in ids(doc_id)."""
+    wanted = docs.join(X.small_side(X.cut(ids.distinct())), "doc_id", "left_semi").select("doc_id", "text")
+    return X.cut(wanted.mapInArrow(full_sets(width), "doc_id long, s binary").dropDuplicates(["doc_id"]))
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are similar on their full sets(doc_id, s)."""
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
     return both.select("a", "b", "sa", "sb").mapInArrow(similar(percent), "a long, b long")
 
 
+#: Counters by which shingles are ordered, rare ones first. Any order is exact; a good one leaves few pairs.
+COUNTERS = 1 << 18
+
+
+def tally(batches):
+    total, part = np.zeros(COUNTERS, np.int32), 0
+    for rb in batches:
+        for s in rb.column(0).to_pylist():
+            h = np.frombuffer(s, np.uint64)
+            np.add.at(total, (h >> np.uint64(46)).astype(np.int64), 1)
+            part = (part + len(h)) % 64
+    if total.any():
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([X.squeeze(total)], pa.binary())], names=["part", "n"])
+
+
+def add_tallies(packs: pa.Table) -> pa.Table:
+    total = np.zeros(COUNTERS, np.int64)
+    for n in packs.column("n"):
+        total += np.frombuffer(X.expand(n.as_py()), np.int32)
+    return pa.table({"part": pa.array([0], pa.int32()), "n": pa.array([X.squeeze(np.minimum(total, 1 << 30).astype(np.int32))], pa.binary())})
+
+
+def prefixes(percent: int, packed: bytes):
+    """(token, doc_id, comp): the rarest shingles of each set, as many as it can lack and still be similar to another, and one more."""
+
+    def run(batches):
+        counts = np.frombuffer(X.expand(packed), np.int32)
+        for rb in batches:
+            ids, comp, tokens = rb.column(0).to_numpy(), rb.column(1).to_numpy(), []
+            for s in rb.column(2).to_pylist():
+                h = np.frombuffer(s, np.uint64)
+                order = np.lexsort((h, counts[(h >> np.uint64(46)).astype(np.int64)]))
+                tokens.append(h[order[: len(h) - (percent * len(h) + 99) // 100 + 1]])
+            n = [len(t) for t in tokens]
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(ids, n)), pa.array(np.repeat(comp, n))], names=["token", "doc_id", "comp"])
+
+    return run
+
+
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(doc_id, comp): the least id reachable, for each id in edges(a, b); alternating large-star and small-star steps
     (Kiveris et al., 2014), each cut to the shared folder. Stars aggregate before they shuffle but for their own members."""
@@ -219,15 +264,23 @@ def dedup_near(docs: DataFrame, width: int = 5, percent: int = 80, slots: int =
     pairs = X.cut(shared.select(F.col("lo").alias("a"), F.col("doc_id").alias("b")).union(shared.select(F.col("doc_id").alias("a"), F.col("hi").alias("b"))).filter("a < b").distinct())
     sig = keyed.dropDuplicates(["doc_id"])
     near = lambda p: p.join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("xa")), "a").join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("xb")), "b").select("a", "b", "xa", "xb").mapInArrow(distant(distance), "a long, b long")
-    links = X.cut(confirm(X.cut(near(pairs)), docs, width, percent))
+    pairs = X.cut(near(pairs))
+    links = X.cut(confirm(pairs, sets_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), docs, width), percent))
     comp = X.cut(components(links))
-    # what is left: members of a bucket in different components, hubs' pairs apart
-    member = shared.select("key", "doc_id", "lo", "hi").join(comp, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    # what is left: members of a bucket that holds several components. Two similar sets share one of their rarest shingles.
+    member = shared.select("key", "doc_id").join(comp, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
     split = member.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("n")).filter("c0 < c1 and n > 2").select("key")
-    member = X.cut(member.join(split, "key"))
-    left, right = member.select("key", F.col("doc_id").alias("a"), F.col("comp").alias("ca")), member.select("key", F.col("doc_id").alias("b"), F.col("comp").alias("cb"), "lo", "hi")
-    rest = left.join(right, "key").filter("a < b and ca <> cb and a <> lo and b <> hi").select("a", "b").distinct()
-    more = X.cut(confirm(X.cut(near(rest)), docs, width, percent))
+    member = X.cut(member.join(split, "key").select("doc_id", "comp").distinct())
+    full = sets_of(member.select("doc_id"), docs, width)
+    counts = full.select("s").mapInArrow(tally, "part int, n binary").groupBy("part").applyInArrow(add_tallies, "part int, n binary").groupBy("part").applyInArrow(add_tallies, "part int, n binary").first()
+    rest = pairs.limit(0)
+    if counts is not None:
+        rare = member.join(full, "doc_id").select("doc_id", "comp", "s").mapInArrow(prefixes(percent, bytes(counts["n"])), "token long, doc_id long, comp long")
+        mixed = rare.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("token")
+        rare = X.cut(rare.join(mixed, "token"))
+        left, right = rare.select("token", F.col("doc_id").alias("a"), F.col("comp").alias("ca")), rare.select("token", F.col("doc_id").alias("b"), F.col("comp").alias("cb"))
+        rest = X.cut(left.join(right, "token").filter("a < b and ca <> cb").select("a", "b").distinct())
+    more = X.cut(confirm(X.cut(near(rest)), full, percent))
     comp = X.cut(components(links.union(more).union(own)))
     by_class = classes.select("set_hash", "rep").join(comp.withColumnRenamed("doc_id", "rep"), "rep", "left").select("set_hash", F.coalesce("comp", "rep").alias("comp"))
     out = sets.select("doc_id", "n_shingles", "set_hash").join(by_class, "set_hash", "left")
