@@ -9,10 +9,10 @@ out, so the search for errors is an equality join.
 
 Rows with the same shingle set are one class before any search. Within a bucket of the index no pairs are
 listed. Members are linked to the bucket's least and greatest id; links are confirmed on the full sets and
-merged into components. Members of a bucket with several components remain. Two similar sets cannot differ
-in all of their rarest shingles (as many as a set may lack, and one), so of the remaining pairs only those
-in different components that share one of these are compared, by signature and on their full sets. No
-partner or candidate is capped.
+merged into components. Where a bucket still holds several components, signatures at most `distance` apart
+connect its members to families; each family is compared on full sets, in memory, by products of 0/1
+matrices, block by block if it is large, and gives at most a link for two components and block. No partner
+or candidate is capped.
 
 For sets exactly at 85 % and the default parameters the signature distance exceeds the threshold with a
 probability below 1e-4; at 90 % below 1e-8.
@@ -172,42 +172,81 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(similar(percent), "a long, b long")
 
 
-#: Counters by which shingles are ordered, rare ones first. Any order is exact; a good one leaves few pairs.
-COUNTERS = 1 << 18
+#: Buckets up to this size are listed pair by pair.
+FEW = 12
+#: Members of a family that one task compares with as many others at a time.
+CROWD = 3000
 
 
-def tally(batches):
-    total, part = np.zeros(COUNTERS, np.int32), 0
-    for rb in batches:
-        for s in rb.column(0).to_pylist():
-            h = np.frombuffer(s, np.uint64)
-            np.add.at(total, (h >> np.uint64(46)).astype(np.int64), 1)
-            part = (part + len(h)) % 64
-    if total.any():
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([X.squeeze(total)], pa.binary())], names=["part", "n"])
+def neighbours(distance: int):
+    """Links (a, b) that connect what is connected, in one bucket (doc_id, sig), by signatures at most `distance` slots apart.
+    A member is compared only with those not reached yet, so a crowd of alike members costs little more than one pass."""
 
+    def run(packs: pa.Table) -> pa.Table:
+        ids = packs.column("doc_id").to_numpy()
+        sig = np.frombuffer(b"".join(packs.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
+        todo, a, b = np.arange(len(ids)), [], []
+        while len(todo):
+            queue, todo = [todo[0]], todo[1:]
+            while queue and len(todo):
+                x = queue.pop()
+                hit = np.count_nonzero(sig[todo] != sig[x], axis=1) <= distance
+                found, todo = todo[hit], todo[~hit]
+                a.append(np.full(len(found), ids[x]))
+                b.append(ids[found])
+                queue += found.tolist()
+        return pa.table({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
 
-def add_tallies(packs: pa.Table) -> pa.Table:
-    total = np.zeros(COUNTERS, np.int64)
-    for n in packs.column("n"):
-        total += np.frombuffer(X.expand(n.as_py()), np.int32)
-    return pa.table({"part": pa.array([0], pa.int32()), "n": pa.array([X.squeeze(np.minimum(total, 1 << 30).astype(np.int32))], pa.binary())})
+    return run
 
 
-def prefixes(percent: int, packed: bytes):
-    """(token, doc_id, comp): the rarest shingles of each set, as many as it can lack and still be similar to another, and one more."""
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], block: int = 1024) -> np.ndarray:
+    """Sizes of the intersections of all left sets with all right sets: products of 0/1 matrices, `block` shared elements at a time."""
+    l, r = np.concatenate(left), np.concatenate(right)
+    row_l, row_r = np.repeat(np.arange(len(left)), [len(x) for x in left]), np.repeat(np.arange(len(right)), [len(x) for x in right])
+    both = np.intersect1d(l, r)
+    at_l, at_r = np.searchsorted(both, l), np.searchsorted(both, r)
+    ok_l, ok_r = at_l < len(both), at_r < len(both)
+    ok_l[ok_l] = both[at_l[ok_l]] == l[ok_l]
+    ok_r[ok_r] = both[at_r[ok_r]] == r[ok_r]
+    at_l, row_l, at_r, row_r = at_l[ok_l], row_l[ok_l], at_r[ok_r], row_r[ok_r]
+    order_l, order_r = np.argsort(at_l, kind="stable"), np.argsort(at_r, kind="stable")
+    at_l, row_l, at_r, row_r = at_l[order_l], row_l[order_l], at_r[order_r], row_r[order_r]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for i in range(0, len(both), block):
+        width = min(block, len(both) - i)
+        x, y = np.zeros((len(left), width), np.float32), np.zeros((len(right), width), np.float32)
+        p, q = np.searchsorted(at_l, [i, i + width])
+        x[row_l[p:q], at_l[p:q] - i] = 1
+        p, q = np.searchsorted(at_r, [i, i + width])
+        y[row_r[p:q], at_r[p:q] - i] = 1
+        out += x @ y.T
+    return out
 
-    def run(batches):
-        counts = np.frombuffer(X.expand(packed), np.int32)
-        for rb in batches:
-            ids, comp, tokens = rb.column(0).to_numpy(), rb.column(1).to_numpy(), []
-            for s in rb.column(2).to_pylist():
-                h = np.frombuffer(s, np.uint64)
-                order = np.lexsort((h, counts[(h >> np.uint64(46)).astype(np.int64)]))
-                tokens.append(h[order[: len(h) - (percent * len(h) + 99) // 100 + 1]])
-            n = [len(t) for t in tokens]
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(ids, n)), pa.array(np.repeat(comp, n))], names=["token", "doc_id", "comp"])
+
+def family_links(percent: int):
+    """Links (a, b) between members of different components in a family, or between two of its blocks: (doc_id, comp, side, s). Of the
+    links between two components one is enough."""
+
+    def run(packs: pa.Table) -> pa.Table:
+        ids, comp, side = (packs.column(c).to_numpy() for c in ("doc_id", "comp", "side"))
+        sets = [np.frombuffer(x, np.uint64) for x in packs.column("s").to_pylist()]
+        crowd = np.bincount(np.unique(comp, return_inverse=True)[1])
+        big = np.unique(comp)[crowd.argmax()]
+        # all but the largest component are compared with all
+        left = np.flatnonzero((comp != big) & (side <= 1) if side.max() <= 1 else side == 1)
+        right = np.arange(len(ids)) if side.max() <= 1 else np.flatnonzero(side == 2)
+        a, b = [], []
+        size = np.array([len(x) for x in sets], np.float32)
+        for i in range(0, len(left), 256):
+            l = left[i : i + 256]
+            inter = overlaps([sets[k] for k in l], [sets[k] for k in right])
+            ok = (100 * inter >= percent * (size[l][:, None] + size[right][None, :] - inter)) & (comp[l][:, None] != comp[right][None, :])
+            x, y = np.nonzero(ok)
+            pair = np.unique(np.stack([comp[l][x], comp[right][y]], 1), axis=0, return_index=True)[1] if len(x) else x
+            a.append(ids[l][x[pair]])
+            b.append(ids[right][y[pair]])
+        return pa.table({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
 
     return run
 
@@ -267,20 +306,23 @@ def dedup_near(docs: DataFrame, width: int = 5, percent: int = 80, slots: int =
     pairs = X.cut(near(pairs))
     links = X.cut(confirm(pairs, sets_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), docs, width), percent))
     comp = X.cut(components(links))
-    # what is left: members of a bucket that holds several components. Two similar sets share one of their rarest shingles.
+    # what is left: members of a bucket that holds several components
     member = shared.select("key", "doc_id").join(comp, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    split = member.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("n")).filter("c0 < c1 and n > 2").select("key")
-    member = X.cut(member.join(split, "key").select("doc_id", "comp").distinct())
+    split = member.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("n")).filter("c0 < c1 and n > 2").select("key", "n")
+    member = X.cut(member.join(split, "key"))
+    few = member.filter(F.col("n") <= FEW)
+    listed = few.select("key", F.col("doc_id").alias("a"), F.col("comp").alias("ca")).join(few.select("key", F.col("doc_id").alias("b"), F.col("comp").alias("cb")), "key").filter("a < b and ca <> cb").select("a", "b").distinct()
+    crowds = member.filter(F.col("n") > FEW).join(sig, "doc_id").select("key", "doc_id", "sig").groupBy("key").applyInArrow(neighbours(distance), "a long, b long")
+    # families: all that signatures connect in some bucket; each is compared on full sets
+    family = X.cut(components(near(listed).union(crowds)).withColumnRenamed("comp", "family"))
+    member = X.cut(member.select("doc_id", "comp").distinct().join(family, "doc_id"))
+    size = member.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("family", F.ceil(F.col("n") / CROWD).cast("int").alias("blocks"))
+    member = X.cut(member.join(size, "family").withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).otherwise(0).cast("int")))
     full = sets_of(member.select("doc_id"), docs, width)
-    counts = full.select("s").mapInArrow(tally, "part int, n binary").groupBy("part").applyInArrow(add_tallies, "part int, n binary").groupBy("part").applyInArrow(add_tallies, "part int, n binary").first()
-    rest = pairs.limit(0)
-    if counts is not None:
-        rare = member.join(full, "doc_id").select("doc_id", "comp", "s").mapInArrow(prefixes(percent, bytes(counts["n"])), "token long, doc_id long, comp long")
-        mixed = rare.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("token")
-        rare = X.cut(rare.join(mixed, "token"))
-        left, right = rare.select("token", F.col("doc_id").alias("a"), F.col("comp").alias("ca")), rare.select("token", F.col("doc_id").alias("b"), F.col("comp").alias("cb"))
-        rest = X.cut(left.join(right, "token").filter("a < b and ca <> cb").select("a", "b").distinct())
-    more = X.cut(confirm(X.cut(near(rest)), full, percent))
+    # each block of a large family meets each other one: side 1 is the block with the lesser number, side 0 a block with itself
+    meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("x"), F.greatest("block", j).alias("y"), F.when(F.col("block") == j, 0).when(F.col("block") < j, 1).otherwise(2).alias("side")))
+    crowd = member.select("doc_id", "comp", "family", F.explode(meet).alias("m")).select("doc_id", "comp", "family", "m.*").join(full, "doc_id")
+    more = X.cut(crowd.groupBy("family", "x", "y").applyInArrow(family_links(percent), "a long, b long"))
     comp = X.cut(components(links.union(more).union(own)))
     by_class = classes.select("set_hash", "rep").join(comp.withColumnRenamed("doc_id", "rep"), "rep", "left").select("set_hash", F.coalesce("comp", "rep").alias("comp"))
     out = sets.select("doc_id", "n_shingles", "set_hash").join(by_class, "set_hash", "left")
