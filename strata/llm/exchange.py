@@ -38,6 +38,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fit(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """cut(df), in as many partitions as its rows fill. Small tables that are shuffled many times then write few files."""
+    df = cut(df)
+    return df.coalesce(max(1, math.ceil(df.count() / rows)))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

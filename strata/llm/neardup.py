@@ -162,7 +162,7 @@ def similar(percent: int):
 
 def sets_of(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, s): the full sets of the documents in ids(doc_id)."""
-    wanted = docs.join(X.small_side(X.cut(ids.distinct())), "doc_id", "left_semi").select("doc_id", "text")
+    wanted = docs.join(X.small_side(X.fit(ids.distinct())), "doc_id", "left_semi").select("doc_id", "text")
     return X.cut(wanted.mapInArrow(full_sets(width), "doc_id long, s binary").dropDuplicates(["doc_id"]))
 
 
@@ -254,7 +254,7 @@ def family_links(percent: int):
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(doc_id, comp): the least id reachable, for each id in edges(a, b); alternating large-star and small-star steps
     (Kiveris et al., 2014), each cut to the shared folder. Stars aggregate before they shuffle but for their own members."""
-    e = X.cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
+    e = X.fit(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
     last = None
     for _ in range(most):
         # large star: neighbours above u go to the least of u's neighbourhood
@@ -264,7 +264,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         # small star: u and its lesser neighbours go to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").union(least.select("u", F.col("m").alias("v"))).distinct()
-        e = X.cut(small)
+        e = X.fit(small)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
             return e.select(F.col("u").alias("doc_id"), F.col("v").alias("comp")).union(e.select(F.col("v").alias("doc_id"), F.col("v").alias("comp")).distinct())
@@ -303,9 +303,9 @@ def dedup_near(docs: DataFrame, width: int = 5, percent: int = 80, slots: int =
     pairs = X.cut(shared.select(F.col("lo").alias("a"), F.col("doc_id").alias("b")).union(shared.select(F.col("doc_id").alias("a"), F.col("hi").alias("b"))).filter("a < b").distinct())
     sig = keyed.dropDuplicates(["doc_id"])
     near = lambda p: p.join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("xa")), "a").join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("xb")), "b").select("a", "b", "xa", "xb").mapInArrow(distant(distance), "a long, b long")
-    pairs = X.cut(near(pairs))
-    links = X.cut(confirm(pairs, sets_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), docs, width), percent))
-    comp = X.cut(components(links))
+    pairs = X.fit(near(pairs))
+    links = X.fit(confirm(pairs, sets_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), docs, width), percent))
+    comp = X.fit(components(links))
     # what is left: members of a bucket that holds several components
     member = shared.select("key", "doc_id").join(comp, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
     split = member.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("n")).filter("c0 < c1 and n > 2").select("key", "n")
@@ -314,16 +314,16 @@ def dedup_near(docs: DataFrame, width: int = 5, percent: int = 80, slots: int =
     listed = few.select("key", F.col("doc_id").alias("a"), F.col("comp").alias("ca")).join(few.select("key", F.col("doc_id").alias("b"), F.col("comp").alias("cb")), "key").filter("a < b and ca <> cb").select("a", "b").distinct()
     crowds = member.filter(F.col("n") > FEW).join(sig, "doc_id").select("key", "doc_id", "sig").groupBy("key").applyInArrow(neighbours(distance), "a long, b long")
     # families: all that signatures connect in some bucket; each is compared on full sets
-    family = X.cut(components(near(listed).union(crowds)).withColumnRenamed("comp", "family"))
-    member = X.cut(member.select("doc_id", "comp").distinct().join(family, "doc_id"))
+    family = X.fit(components(near(listed).union(crowds)).withColumnRenamed("comp", "family"))
+    member = X.fit(member.select("doc_id", "comp").distinct().join(family, "doc_id"))
     size = member.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("family", F.ceil(F.col("n") / CROWD).cast("int").alias("blocks"))
-    member = X.cut(member.join(size, "family").withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).otherwise(0).cast("int")))
+    member = X.fit(member.join(size, "family").withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).otherwise(0).cast("int")))
     full = sets_of(member.select("doc_id"), docs, width)
     # each block of a large family meets each other one: side 1 is the block with the lesser number, side 0 a block with itself
     meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("x"), F.greatest("block", j).alias("y"), F.when(F.col("block") == j, 0).when(F.col("block") < j, 1).otherwise(2).alias("side")))
     crowd = member.select("doc_id", "comp", "family", F.explode(meet).alias("m")).select("doc_id", "comp", "family", "m.*").join(full, "doc_id")
-    more = X.cut(crowd.groupBy("family", "x", "y").applyInArrow(family_links(percent), "a long, b long"))
-    comp = X.cut(components(links.union(more).union(own)))
+    more = X.fit(crowd.groupBy("family", "x", "y").applyInArrow(family_links(percent), "a long, b long"))
+    comp = X.fit(components(links.union(more).union(own)))
     by_class = classes.select("set_hash", "rep").join(comp.withColumnRenamed("doc_id", "rep"), "rep", "left").select("set_hash", F.coalesce("comp", "rep").alias("comp"))
     out = sets.select("doc_id", "n_shingles", "set_hash").join(by_class, "set_hash", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
