@@ -20,6 +20,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 PIECE = 2 << 20
 
 
+#: Bytes of an Arrow batch, at most, on its way to or from a Python worker.
+BATCH = 8 << 20
+
+
+def small_batches(df: DataFrame) -> None:
+    """Bounds Arrow batches in df's session by bytes, so rows with long texts or sets don't fill a task's memory. Results are the same with any bound."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+
+
 def size_in_bytes(df: DataFrame) -> int:
     """What the optimizer knows of the size of df, mostly from its files. No job runs."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -27,11 +36,13 @@ def size_in_bytes(df: DataFrame) -> int:
 
 def bucket_bits(df: DataFrame, bytes_each: int = 8 << 20, most: int = 20) -> int:
     """log2 of the number of buckets such that one stands for about `bytes_each` of df."""
+    small_batches(df)
     return int(min(most, max(3, math.ceil(math.log2(max(1, size_in_bytes(df) / bytes_each))))))
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df, written to the folder that the cluster names in spark.checkpoint.dir, without its lineage."""
+    small_batches(df)
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strata-"))

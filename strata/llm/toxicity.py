@@ -64,7 +64,7 @@ class Model:
 class Measure:
     """Distances of words, each word compressed once; the memory holds `most` words at most."""
 
-    def __init__(self, model: Model, most: int = 400_000):
+    def __init__(self, model: Model, most: int = 100_000):
         self.ordinary, self.toxic = (c.compress for c in model.compressors())
         self.known: dict[bytes, int] = {}
         self.most = most
@@ -197,6 +197,7 @@ def apply(model: Model):
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, score, distance for each row of docs(doc_id, text)."""
+    X.small_batches(docs)
     if model is None:
         return docs.select("doc_id", F.lit(0.0).alias("score"), F.lit(0.0).alias("distance"))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(apply(model), "doc_id long, score double, distance double")
