@@ -200,6 +200,8 @@ def two_stage_sort(text: np.ndarray, first: np.ndarray, n: np.ndarray, width: in
         keys[:, i] = np.maximum(pad[direct + i], 1) - 1
     order = pc.array_sort_indices(pa.Array.from_buffers(pa.binary(width), len(direct), [None, pa.py_buffer(keys)])).to_numpy()
     direct = direct[order]
+    ends = text[direct] == 0  # in the keys an end marker looks like a zero byte
+    direct = np.concatenate([direct[ends], direct[~ends]])
     del keys
     lead = np.zeros(total, bool)
     lead[first] = True
