@@ -40,7 +40,7 @@ def clean_variant(line: Column) -> Column:
 
 def split_tags(tags: Column, default: str | None = "Concept") -> Column:
     """Trimmed, non-blank parts between commas; [default] if there are none."""
-    out = F.filter(F.transform(F.split(F.coalesce(tags, F.lit("")), ","), F.trim), lambda t: t != "")
+    out = F.filter(F.transform(F.split(F.coalesce(tags, F.lit("")), ","), lambda t: F.trim(t)), lambda t: t != "")
     return out if default is None else F.when(F.size(out) == 0, F.array(F.lit(default))).otherwise(out)
 
 
