@@ -194,10 +194,8 @@ def two_stage_sort(text: np.ndarray, first: np.ndarray, n: np.ndarray, width: in
     size = stop - first + 1
     todo = np.repeat(first, size) + K.ranges(size)
     direct = todo[rise[todo]]
-    pad = np.concatenate([text, np.zeros(width, text.dtype)])
-    keys = np.empty((len(direct), width), np.uint8)
-    for i in range(width):
-        keys[:, i] = np.maximum(pad[direct + i], 1) - 1
+    pad = np.maximum(np.concatenate([text, np.zeros(width, text.dtype)]), 1) - 1
+    keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(pad.astype(np.uint8), width)[direct])
     order = pc.array_sort_indices(pa.Array.from_buffers(pa.binary(width), len(direct), [None, pa.py_buffer(keys)])).to_numpy()
     direct = direct[order]
     ends = text[direct] == 0  # in the keys an end marker looks like a zero byte
@@ -243,15 +241,15 @@ def two_stage_sort(text: np.ndarray, first: np.ndarray, n: np.ndarray, width: in
     return full[is_window[full]]
 
 
-def adjacent_prefixes(text: np.ndarray, order: np.ndarray, width: int) -> np.ndarray:
+def adjacent_prefixes(text: np.ndarray, order: np.ndarray, width: int, block: int = 1 << 15) -> np.ndarray:
     """Common prefix, up to width, of each suffix with the one before it; 0 for the first."""
     out = np.zeros(len(order), np.int64)
-    live = np.arange(1, len(order))
-    for i in range(width):
-        live = live[text[order[live] + i] == text[order[live - 1] + i]]
-        out[live] = i + 1
-        if not len(live):
-            break
+    rows = np.lib.stride_tricks.sliding_window_view((text - 1).astype(np.uint8), width)  # no window holds an end marker
+    for i in range(1, len(order), block):
+        j = min(i + block, len(order))
+        both = rows[order[i - 1 : j]]
+        differ = both[1:] != both[:-1]
+        out[i:j] = np.where(differ.any(1), differ.argmax(1), width)
     return out
 
 
