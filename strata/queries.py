@@ -69,10 +69,10 @@ def notes_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents")
     kind = F.element_at(F.array(*map(F.lit, ("general", "blocker", "action", "conclusion"))), (F.col("doc_id") % 4 + 1).cast("int"))
     at = F.timestamp_micros((F.lit(1704067200) + F.col("doc_id") * 60) * 1000000)
-    return d.select(F.col("doc_id").cast("string").alias("id"), F.left("text", F.lit(20)).alias("title"), kind.alias("type"), F.array("lang", "source").alias("tags"), at.alias("created_at"), at.alias("updated_at"), F.left("text", F.lit(200)).alias("content"))
+    return d.select(F.col("doc_id").cast("string").alias("id"), F.left("text", F.lit(20)).alias("title"), kind.alias("type"), F.array("lang", "source").alias("tags"), at.alias("created_at"), at.alias("updated_at"), F.col("text").alias("content"))
 
 
-NOTES = "n AS (SELECT doc_id::VARCHAR AS id, left(text, 20) AS title, ['general', 'blocker', 'action', 'conclusion'][doc_id % 4 + 1] AS type, [lang, source] AS tags, TIMESTAMP '2024-01-01' + doc_id * INTERVAL 1 MINUTE AS updated_at, left(text, 200) AS content FROM documents)"
+NOTES = "n AS (SELECT doc_id::VARCHAR AS id, left(text, 20) AS title, ['general', 'blocker', 'action', 'conclusion'][doc_id % 4 + 1] AS type, [lang, source] AS tags, TIMESTAMP '2024-01-01' + doc_id * INTERVAL 1 MINUTE AS updated_at, text AS content FROM documents)"
 TERMS = r"t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents)"
 BM25 = (
     "WITH " + TERMS + ", w AS (SELECT doc_id, len(t) AS l, t FROM t), st AS (SELECT count(*) AS n, avg(l) AS a FROM w), q AS (SELECT unnest(['with', 'that', 'this', 'nderer']) AS x), "
@@ -110,9 +110,9 @@ def token_estimate_context(spark, d):
 TFIDF = "WITH " + TERMS + ", p AS (SELECT doc_id, term, count(*) AS tf, any_value(l) AS l FROM (SELECT doc_id, unnest(t) AS term, len(t) AS l FROM t) GROUP BY doc_id, term), df AS (SELECT term, count(*) AS df FROM p GROUP BY term), n AS (SELECT count(*) AS n FROM documents), v AS (SELECT doc_id, p.term, tf / l * ln((n - df + 0.5) / (df + 0.5) + 1) AS weight FROM p JOIN df USING (term), n), q AS (SELECT term, ln((n - df + 0.5) / (df + 0.5) + 1) AS qw FROM df, n WHERE term IN ('with', 'that', 'this', 'nderer')) "
 
 
-@query(TFIDF + "SELECT doc_id, term, round(weight, 6) AS weight FROM v WHERE doc_id % 10 = 0")
+@query(TFIDF + "SELECT doc_id, term, round(weight, 6) AS weight FROM v")
 def tfidf_doc_vector(spark, d):
-    return lexical.tfidf_vectors(read(spark, d, "documents")).filter("doc_id % 10 = 0").select("doc_id", "term", F.round("weight", 6).alias("weight"))
+    return lexical.tfidf_vectors(read(spark, d, "documents")).select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
 @query(TFIDF + "SELECT doc_id, round(dot, 6) AS dot, round(dot / (norm * qn), 6) AS cosine FROM (SELECT doc_id, sum(weight * qw) AS dot FROM v JOIN q USING (term) GROUP BY doc_id) JOIN (SELECT doc_id, sqrt(sum(weight * weight)) AS norm FROM v GROUP BY doc_id) USING (doc_id), (SELECT sqrt(sum(qw * qw)) AS qn FROM q)")
@@ -224,14 +224,14 @@ def cross_tier_search(spark, d):
     return memory.cross_tier({"working": a, "semantic": b}).select("tier", "id", "importance")
 
 
-@query("SELECT e.vec_id AS id, e.vec_id % 250 AS kept_id, greatest((e.vec_id % 250) % 11, max((e.vec_id) % 11) OVER (PARTITION BY e.vec_id % 250)) / 10.0::DOUBLE AS importance FROM (SELECT vec_id FROM embeddings WHERE vec_id < 500) e")
+@query("WITH n AS (SELECT max(vec_id) + 1 AS n FROM embeddings), c AS (SELECT vec_id AS id, vec_id AS kept_id FROM embeddings UNION ALL SELECT vec_id + n, vec_id FROM embeddings, n) SELECT id, kept_id, max(id % 11) OVER (PARTITION BY kept_id) / 10.0::DOUBLE AS importance FROM c")
 def semantic_near_duplicate(spark, d):
-    # each vector from 250 on becomes a noisy copy of the one 250 before it
-    p = read(spark, d, "embeddings").filter("vec_id < 500")
-    base = p.filter("vec_id < 250")
-    copy = base.select((F.col("vec_id") + 250).alias("vec_id"), F.transform("embedding", lambda x: x + 0.01).alias("embedding"))
-    both = base.select("vec_id", "embedding").union(copy)
-    return memory.semantic_add(both.select(F.col("vec_id").alias("id"), (F.col("vec_id") % 25).alias("block"), "embedding", (F.col("vec_id") % 11 / 10.0).alias("importance")), "block")
+    # each vector and a noisy copy of it; blocks of 20 neighbours and their copies
+    p = read(spark, d, "embeddings")
+    n = p.agg((F.max("vec_id") + 1).alias("n"))  # one row
+    copy = p.crossJoin(F.broadcast(n)).select((F.col("vec_id") + F.col("n")).alias("id"), F.transform("embedding", lambda x: x + 0.01).alias("embedding"), F.floor(F.col("vec_id") / 20).alias("block"))
+    both = p.select(F.col("vec_id").alias("id"), "embedding", F.floor(F.col("vec_id") / 20).alias("block")).union(copy)
+    return memory.semantic_add(both.withColumn("importance", F.col("id") % 11 / 10.0), "block")
 
 
 @query("WITH " + BOTH + " SELECT DISTINCT id, neighbour FROM u")
@@ -245,31 +245,32 @@ def graph_overlap_score(spark, d):
     return graph.overlap(edges_of(spark, d), c, True).select("id", F.round("score", 6).alias("score"))
 
 
-@query("WITH " + BOTH + ", r AS (SELECT id, string_agg(neighbour || ':' || relation_type, ',' ORDER BY neighbour, relation_type) AS relations FROM (SELECT DISTINCT * FROM u) GROUP BY id) SELECT vec_id AS id, relations FROM embeddings LEFT JOIN r ON r.id = vec_id WHERE vec_id < 50")
+@query("WITH " + BOTH + ", r AS (SELECT id, string_agg(neighbour || ':' || relation_type, ',' ORDER BY neighbour, relation_type) AS relations FROM (SELECT DISTINCT * FROM u) GROUP BY id) SELECT vec_id AS id, relations FROM embeddings LEFT JOIN r ON r.id = vec_id")
 def relation_expand(spark, d):
-    hits = read(spark, d, "embeddings").filter("vec_id < 50").select(F.col("vec_id").alias("id"))
+    hits = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"))
     text = F.transform("relations", lambda r: F.concat_ws(":", r["neighbour"].cast("string"), r["relation_type"]))
     return graph.expand(hits, edges_of(spark, d)).select("id", F.array_join(text, ",").alias("relations"))
 
 
-@query("WITH " + EDGES + " SELECT source_id, target_id, relation_type FROM e WHERE source_id % 3 <> 0 AND target_id % 3 <> 0")
+@query("WITH " + EDGES + " SELECT source_id, target_id, relation_type FROM e WHERE source_id NOT IN (SELECT vec_id FROM embeddings WHERE label = 3) AND target_id NOT IN (SELECT vec_id FROM embeddings WHERE label = 3)")
 def detach_delete(spark, d):
-    nodes = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"))
-    ids = edges_of(spark, d).select(F.explode(F.array("source_id", "target_id")).alias("id")).filter("id % 3 = 0")
+    e = read(spark, d, "embeddings")
+    nodes, ids = e.select(F.col("vec_id").alias("id")), e.filter("label = 3").select(F.col("vec_id").alias("id"))
     return graph.detach_delete(nodes, edges_of(spark, d), ids)[1]
 
 
-@query("WITH " + EDGES + " SELECT DISTINCT source_id, target_id, relation_type FROM (SELECT * FROM e WHERE source_id < 100 UNION ALL SELECT * FROM e WHERE source_id < 200 AND target_id < 300)")
+@query("WITH " + EDGES + ", n AS (SELECT vec_id FROM embeddings WHERE label < 5) SELECT source_id, target_id, relation_type FROM e WHERE relation_type = 'related_to' UNION SELECT source_id, target_id, relation_type FROM e WHERE source_id IN (FROM n) AND target_id IN (FROM n)")
 def graph_merge_edges(spark, d):
+    # all edges, merged into those of one type; only some of the ends are nodes
     e = edges_of(spark, d)
-    nodes = read(spark, d, "embeddings").filter("vec_id < 300").select(F.col("vec_id").alias("id"))
-    return graph.merge_edges(e.filter("source_id < 100"), e.filter("source_id < 200"), nodes)
+    nodes = read(spark, d, "embeddings").filter("label < 5").select(F.col("vec_id").alias("id"))
+    return graph.merge_edges(e.filter("relation_type = 'related_to'"), e, nodes)
 
 
-@query("WITH a AS (SELECT vec_id::VARCHAR AS id, label FROM embeddings WHERE vec_id < 60) SELECT id, CASE WHEN id::INT < 30 THEN 'v2' ELSE label::VARCHAR END AS label, CASE WHEN id::INT < 30 THEN 'yes' END AS extra FROM a")
+@query("SELECT vec_id::VARCHAR AS id, CASE WHEN label < 5 THEN 'v2' ELSE label::VARCHAR END AS label, CASE WHEN label < 5 THEN 'yes' END AS extra FROM embeddings")
 def graph_merge_nodes(spark, d):
-    a = read(spark, d, "embeddings").filter("vec_id < 60").select(F.col("vec_id").cast("string").alias("id"), F.array(F.lit("Concept")).alias("tags"), F.create_map(F.lit("label"), F.col("label").cast("string")).alias("properties"))
-    b = a.filter("cast(id as int) < 30").withColumn("properties", F.create_map(F.lit("label"), F.lit("v2"), F.lit("extra"), F.lit("yes")))
+    a = read(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.array(F.lit("Concept")).alias("tags"), F.create_map(F.lit("label"), F.col("label").cast("string")).alias("properties"))
+    b = a.filter(F.col("properties")["label"].cast("int") < 5).withColumn("properties", F.create_map(F.lit("label"), F.lit("v2"), F.lit("extra"), F.lit("yes")))
     return graph.merge_nodes(a, b).select("id", F.col("properties")["label"].alias("label"), F.col("properties")["extra"].alias("extra"))
 
 
@@ -280,15 +281,15 @@ def sha_dedup(spark, d):
 
 
 @query(
-    "WITH RECURSIVE l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents WHERE doc_id < 300), r AS (SELECT doc_id, l, 1 AS i, 0 AS c, l[1] AS t, len(regexp_extract_all(l[1], '[^ \\t\\n\\r]+')) AS n, false AS cut FROM l WHERE len(l) > 0 UNION ALL SELECT doc_id, l, i + 1, CASE WHEN n + m <= 100 THEN c ELSE c + 1 END, CASE WHEN n + m <= 100 THEN t || chr(10) || l[i + 1] ELSE l[i + 1] END, CASE WHEN n + m <= 100 THEN n + m ELSE m END, false FROM (SELECT *, len(regexp_extract_all(l[i + 1], '[^ \\t\\n\\r]+')) AS m FROM r WHERE i < len(l))) SELECT doc_id, c::BIGINT AS chunk_index, arg_max(t, i) AS content, max(n)::BIGINT AS token_est FROM r GROUP BY doc_id, c"
+    "WITH RECURSIVE l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents), r AS (SELECT doc_id, l, 1 AS i, 0 AS c, l[1] AS t, len(regexp_extract_all(l[1], '[^ \\t\\n\\r]+')) AS n, false AS cut FROM l WHERE len(l) > 0 UNION ALL SELECT doc_id, l, i + 1, CASE WHEN n + m <= 100 THEN c ELSE c + 1 END, CASE WHEN n + m <= 100 THEN t || chr(10) || l[i + 1] ELSE l[i + 1] END, CASE WHEN n + m <= 100 THEN n + m ELSE m END, false FROM (SELECT *, len(regexp_extract_all(l[i + 1], '[^ \\t\\n\\r]+')) AS m FROM r WHERE i < len(l))) SELECT doc_id, c::BIGINT AS chunk_index, arg_max(t, i) AS content, max(n)::BIGINT AS token_est FROM r GROUP BY doc_id, c"
 )
 def line_chunks(spark, d):
-    return chunking.line_packs(read(spark, d, "documents").filter("doc_id < 300"), 100).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "content", F.col("token_est").cast("long").alias("token_est"))
+    return chunking.line_packs(read(spark, d, "documents"), 100).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "content", F.col("token_est").cast("long").alias("token_est"))
 
 
-@query("WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE doc_id < 200) SELECT doc_id, i::BIGINT AS i, array_to_string(list(s) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), chr(10)) AS context FROM s")
+@query("WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents) SELECT doc_id, i::BIGINT AS i, array_to_string(list(s) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), chr(10)) AS context FROM s")
 def sentence_window_context(spark, d):
-    s = read(spark, d, "documents").filter("doc_id < 200").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "s"))
+    s = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "s"))
     return chunking.window_context(s, "doc_id", "i", "s").select("doc_id", F.col("i").cast("long").alias("i"), "context")
 
 
@@ -316,10 +317,10 @@ def parse_gate(spark, d):
     return docs.select("doc_id", parsing.gate(raw, ext, 3000).alias("parse_error"))
 
 
-@query(r"WITH m AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i % 5 = 1 THEN '# ' || left(x, 10) WHEN i % 5 = 3 THEN '## ' || left(x, 10) ELSE x END) AS l FROM documents WHERE doc_id < 300), h AS (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) - 1 AS line FROM m), g AS (SELECT doc_id, line, length(regexp_extract(s, '^(#{1,6}) ', 1)) AS level, trim(regexp_extract(s, '^#{1,6} (.*)$', 1)) AS title FROM h WHERE regexp_matches(s, '^#{1,6} ')) SELECT doc_id, line::BIGINT AS line, level::BIGINT AS level, title, coalesce((SELECT min(k.line) FROM g k WHERE k.doc_id = g.doc_id AND k.line > g.line AND k.level <= g.level), -1)::BIGINT AS end_line FROM g")
+@query(r"WITH m AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i % 5 = 1 THEN '# ' || x WHEN i % 5 = 3 THEN '## ' || x ELSE x END) AS l FROM documents), h AS (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) - 1 AS line FROM m), g AS (SELECT doc_id, line, length(regexp_extract(s, '^(#{1,6}) ', 1)) AS level, trim(regexp_extract(s, '^#{1,6} (.*)$', 1)) AS title FROM h WHERE regexp_matches(s, '^#{1,6} ')) SELECT doc_id, line::BIGINT AS line, level::BIGINT AS level, title, coalesce((SELECT min(k.line) FROM g k WHERE k.doc_id = g.doc_id AND k.line > g.line AND k.level <= g.level), -1)::BIGINT AS end_line FROM g")
 def heading_sections(spark, d):
-    line = lambda x, i: F.when(i % 5 == 0, F.concat(F.lit("# "), F.left(x, F.lit(10)))).when(i % 5 == 2, F.concat(F.lit("## "), F.left(x, F.lit(10)))).otherwise(x)
-    docs = read(spark, d, "documents").filter("doc_id < 300").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("text"))
+    line = lambda x, i: F.when(i % 5 == 0, F.concat(F.lit("# "), x)).when(i % 5 == 2, F.concat(F.lit("## "), x)).otherwise(x)
+    docs = read(spark, d, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("text"))
     return chunking.headings(docs).select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("line", "level")], "title", F.coalesce("end_line", F.lit(-1)).cast("long").alias("end_line"))
 
 
@@ -349,10 +350,10 @@ def ingest_documents(spark, d):
 def chunks_of(spark, d):
     """Documents as chunks of the embeddings with the same id."""
     docs = read(spark, d, "documents")
-    return docs.select(F.col("doc_id").alias("id"), F.floor(F.col("doc_id") / 4).alias("doc_id"), (F.col("doc_id") % 4).alias("chunk_index"), F.left("text", F.lit(40)).alias("content"))
+    return docs.select(F.col("doc_id").alias("id"), F.floor(F.col("doc_id") / 4).alias("doc_id"), (F.col("doc_id") % 4).alias("chunk_index"), F.col("text").alias("content"))
 
 
-@query(MULTI.replace("rank < 20", "rank < 10") + ", f AS (SELECT vec_id AS chunk_id, sum(1 / (60.0 + rank + 1)) AS rrf, max(score) AS score FROM r GROUP BY vec_id ORDER BY round(rrf, 12) DESC, vec_id LIMIT 5) SELECT chunk_id, doc_id // 4 AS doc_id, CASE WHEN (doc_id // 4) % 2 = 0 THEN 'doc' || (doc_id // 4) ELSE '' END AS doc_name, left(text, 40) AS content, round(score, 5) AS score FROM f JOIN documents ON doc_id = chunk_id")
+@query(MULTI.replace("rank < 20", "rank < 10") + ", f AS (SELECT vec_id AS chunk_id, sum(1 / (60.0 + rank + 1)) AS rrf, max(score) AS score FROM r GROUP BY vec_id ORDER BY round(rrf, 12) DESC, vec_id LIMIT 5) SELECT chunk_id, doc_id // 4 AS doc_id, CASE WHEN (doc_id // 4) % 2 = 0 THEN 'doc' || (doc_id // 4) ELSE '' END AS doc_name, text AS content, round(score, 5) AS score FROM f JOIN documents ON doc_id = chunk_id")
 def rag_search(spark, d):
     p = read(spark, d, "embeddings")
     chunks = chunks_of(spark, d)
@@ -368,13 +369,13 @@ def rag_list(spark, d):
     return rag.list_documents(docs).select("id", "size")
 
 
-@query("SELECT (SELECT count(DISTINCT doc_id // 4) FROM documents WHERE (doc_id // 4) % 3 <> 0)::BIGINT AS documents, count(*)::BIGINT AS chunks, count(*) FILTER (doc_id < 500)::BIGINT AS points FROM documents WHERE (doc_id // 4) % 3 <> 0")
+@query("WITH g AS (SELECT DISTINCT doc_id // 4 AS id FROM documents WHERE source = 'src1'), k AS (SELECT doc_id FROM documents WHERE doc_id // 4 NOT IN (FROM g)) SELECT (SELECT count(DISTINCT doc_id // 4) FROM k)::BIGINT AS documents, (SELECT count(*) FROM k)::BIGINT AS chunks, (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE doc_id // 4 IN (FROM g)))::BIGINT AS points")
 def rag_delete_cascade(spark, d):
     chunks = chunks_of(spark, d)
     docs = chunks.select(F.col("doc_id").alias("id")).distinct()
-    points = read(spark, d, "embeddings").filter("vec_id < 500").select(F.col("vec_id").alias("id"))
-    points = points.join(chunks.select("id"), "id", "left_semi")
-    a, b, c = rag.delete_documents(docs, chunks, points, docs.filter("id % 3 = 0"))
+    gone = read(spark, d, "documents").filter("source = 'src1'").select(F.floor(F.col("doc_id") / 4).alias("id")).distinct()
+    points = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"))
+    a, b, c = rag.delete_documents(docs, chunks, points, gone)
     n = lambda x, name: x.agg(F.count(F.lit(1)).alias(name))
     return n(a, "documents").join(n(b, "chunks")).join(n(c, "points"))
 
