@@ -176,16 +176,47 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 FEW = 12
 #: Members of a family that one task compares with as many others at a time.
 CROWD = 3000
+#: Members of a bucket whose signatures one task compares with as many others at a time.
+BUCKET = 50_000
+
+
+def meetings(member: DataFrame, group: str, n: str, most: int) -> DataFrame:
+    """member(group, doc_id, comp, n) with x, y, side: the comparisons in which each row takes part. Up to `most` members (n) meet all at
+    once, as side 0. Of larger groups all but the largest component are dealt in blocks that meet each other (side 1 has the lesser number) and
+    themselves; the largest component is dealt in blocks that meet those, but neither each other nor themselves, as it is linked already."""
+    tally = member.filter(F.col(n) > most).groupBy(group, "comp").agg(F.count(F.lit(1)).alias("c"))
+    tally = tally.groupBy(group).agg(F.max(F.struct("c", "comp")).alias("big"), F.sum("c").alias("all"))
+    pieces = lambda c: F.greatest(F.ceil(c / F.lit(most)), F.lit(1)).cast("int")
+    tally = X.fit(tally.select(F.col(group).alias("g"), F.col("big.comp").alias("main"), pieces(F.col("big.c")).alias("crowd"), pieces(F.col("all") - F.col("big.c")).alias("rest")))
+    out = member.join(X.small_side(tally), F.col(group) == F.col("g"), "left").withColumn("h", F.xxhash64("doc_id"))
+    main = F.col("comp") == F.col("main")
+    out = out.withColumn("block", F.when(main, F.col("rest") + F.pmod("h", F.col("crowd"))).otherwise(F.pmod("h", F.col("rest"))).cast("int"))
+    others = F.sequence(F.lit(0), F.when(main, F.col("rest")).otherwise(F.col("rest") + F.col("crowd")) - 1)
+    side = lambda j: F.when(F.col("block") == j, 0).when(F.col("block") < j, 1).otherwise(2)
+    meet = F.transform(others, lambda j: F.struct(F.least("block", j).alias("x"), F.greatest("block", j).alias("y"), side(j).alias("side")))
+    alone = F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("side")))
+    return out.select(*member.columns, F.explode(F.when(F.col("g").isNull(), alone).otherwise(meet)).alias("m")).select(*member.columns, "m.*")
 
 
 def neighbours(distance: int):
-    """Links (a, b) that connect what is connected, in one bucket (doc_id, sig), by signatures at most `distance` slots apart.
-    A member is compared only with those not reached yet, so a crowd of alike members costs little more than one pass."""
+    """Links (a, b) that connect what is connected, in one bucket or between two of its blocks (doc_id, side, sig), by signatures at most
+    `distance` slots apart. In a bucket a member is compared only with those not reached yet, so a crowd of alike members costs little more
+    than one pass; between blocks a member is linked once with what others have joined."""
 
     def run(packs: pa.Table) -> pa.Table:
-        ids = packs.column("doc_id").to_numpy()
+        ids, side = packs.column("doc_id").to_numpy(), packs.column("side").to_numpy()
         sig = np.frombuffer(b"".join(packs.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
         todo, a, b = np.arange(len(ids)), [], []
+        if side.max() > 0:
+            todo, right = np.zeros(0, np.int64), np.flatnonzero(side == 2)
+            joined = np.arange(len(right))
+            for x in np.flatnonzero(side == 1):
+                hit = np.flatnonzero(np.count_nonzero(sig[right] != sig[x], axis=1) <= distance)
+                parts, first = np.unique(joined[hit], return_index=True)
+                a.append(np.full(len(first), ids[x]))
+                b.append(ids[right[hit[first]]])
+                if len(parts) > 1:
+                    joined[np.isin(joined, parts)] = parts[0]
         while len(todo):
             queue, todo = [todo[0]], todo[1:]
             while queue and len(todo):
@@ -312,16 +343,15 @@ def dedup_near(docs: DataFrame, width: int = 5, percent: int = 80, slots: int =
     member = X.cut(member.join(split, "key"))
     few = member.filter(F.col("n") <= FEW)
     listed = few.select("key", F.col("doc_id").alias("a"), F.col("comp").alias("ca")).join(few.select("key", F.col("doc_id").alias("b"), F.col("comp").alias("cb")), "key").filter("a < b and ca <> cb").select("a", "b").distinct()
-    crowds = member.filter(F.col("n") > FEW).join(sig, "doc_id").select("key", "doc_id", "sig").groupBy("key").applyInArrow(neighbours(distance), "a long, b long")
+    crowds = meetings(member.filter(F.col("n") > FEW), "key", "n", BUCKET).join(sig, "doc_id").select("key", "x", "y", "side", "doc_id", "sig")
+    crowds = crowds.groupBy("key", "x", "y").applyInArrow(neighbours(distance), "a long, b long")
     # families: all that signatures connect in some bucket; each is compared on full sets
     family = X.fit(components(near(listed).union(crowds)).withColumnRenamed("comp", "family"))
     member = X.fit(member.select("doc_id", "comp").distinct().join(family, "doc_id"))
-    size = member.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("family", F.ceil(F.col("n") / CROWD).cast("int").alias("blocks"))
-    member = X.fit(member.join(size, "family").withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).otherwise(0).cast("int")))
+    size = member.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("family", "n")
+    member = X.fit(member.join(size, "family"))
     full = sets_of(member.select("doc_id"), docs, width)
-    # each block of a large family meets each other one: side 1 is the block with the lesser number, side 0 a block with itself
-    meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("x"), F.greatest("block", j).alias("y"), F.when(F.col("block") == j, 0).when(F.col("block") < j, 1).otherwise(2).alias("side")))
-    crowd = member.select("doc_id", "comp", "family", F.explode(meet).alias("m")).select("doc_id", "comp", "family", "m.*").join(full, "doc_id")
+    crowd = meetings(member, "family", "n", CROWD).select("doc_id", "comp", "family", "x", "y", "side").join(full, "doc_id")
     more = X.fit(crowd.groupBy("family", "x", "y").applyInArrow(family_links(percent), "a long, b long"))
     comp = X.fit(components(links.union(more).union(own)))
     by_class = classes.select("set_hash", "rep").join(comp.withColumnRenamed("doc_id", "rep"), "rep", "left").select("set_hash", F.coalesce("comp", "rep").alias("comp"))
