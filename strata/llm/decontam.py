@@ -5,8 +5,8 @@ cannot hold a window without holding, at a position divisible by `step`, one of
 window, as `step` is the number of such runs in it; so only every step-th position is looked up in a hash
 set of the benchmark's runs, and only what is found is compared, word for word, with the windows.
 
-Grams are hashes of lower-cased words (a superset of the matches); windows are compared by the contract's
-own case rule. The benchmark is broadcast only if its windows were counted and are few (`most`); else the
+Grams are hashes of lower-cased words (a superset of the matches; sigma is lowered first, as its form would
+else depend on what follows); windows are compared by the contract's own case rule. The benchmark is broadcast only if its windows were counted and are few (`most`); else the
 same joins shuffle.
 
 Defined cases: null or wordless texts and items have no windows. Rows are told apart by doc_id and text, so
@@ -28,6 +28,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), BETWEEN), lambda w: w != "")
 
 
+def lowered(text: Column) -> Column:
+    """Lower case, each letter by itself."""
+    return F.lower(F.replace(text, F.lit("\u03a3"), F.lit("\u03c3")))
+
+
 def item_windows(benchmark: DataFrame, width: int) -> DataFrame:
     """len, key, item: the distinct windows of each item; key has the words lower-cased A-Z, with single spaces."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.translate("text", UPPER, LOW)).alias("w")).filter(F.col("item").isNotNull() & (F.size("w") > 0))
@@ -44,12 +49,12 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, width: int = 13, gram: i
     """doc_id, th (hash of the text), start, len, item: each occurrence of a window, start in words from 0."""
     windows = X.cut(item_windows(benchmark, width))
     held = X.small_side(windows, most)
-    base = docs.select("doc_id", F.xxhash64("text").alias("th"), words(F.lower("text")).alias("lw"), words(F.col("text")).alias("w"))
+    base = docs.select("doc_id", F.xxhash64("text").alias("th"), words(lowered(F.col("text"))).alias("lw"), words(F.col("text")).alias("w"))
     found = None
     for n in sorted(r["len"] for r in windows.select("len").distinct().collect()):  # at most `width` lengths
         g = min(gram, n)
         step = n - g + 1
-        own = windows.filter(F.col("len") == n).select(F.split(F.lower("key"), " ").alias("w"))
+        own = windows.filter(F.col("len") == n).select(F.split(lowered(F.col("key")), " ").alias("w"))
         grams = X.cut(own.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(step)), lambda i: gram_hash(F.col("w"), i, g))).alias("gh")).distinct())
         spots = F.when(F.size("lw") >= g, F.transform(F.sequence(F.lit(0), F.size("lw") - g, F.lit(step)), lambda i: F.struct(i.alias("at"), gram_hash(F.col("lw"), i + 1, g).alias("gh"), F.slice("w", F.greatest(i + 1 - (step - 1), F.lit(1)), F.lit(n + step - 1) + F.least(i - (step - 1), F.lit(0))).alias("near"))))
         hit = base.select("doc_id", "th", F.explode(spots).alias("s")).select("doc_id", "th", F.col("s.at").alias("at"), F.col("s.gh").alias("gh"), F.col("s.near").alias("near"))

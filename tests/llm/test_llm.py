@@ -152,6 +152,7 @@ def test_neardup(spark, docs, rows, none, monkeypatch):
     assert neardup.dedup_near(none).count() == 0
     # a family in which most are linked to the first and some only to each other, with small blocks and buckets
     monkeypatch.setattr(neardup, "CROWD", 7)
+    monkeypatch.setattr(neardup, "BUCKET", 5)
     monkeypatch.setattr(neardup, "FEW", 2)
     rng = random.Random(4)
     base = [f"w{rng.randint(0, 10**6)}" for _ in range(150)]
@@ -231,6 +232,12 @@ def test_decontam(spark, docs, rows, none, most):
     assert {r.n_hit for r in decontam.decontaminate(docs, bench.limit(0)).collect()} == {0}
 
 
+def test_decontam_lowers_each_letter_by_itself(spark):
+    docs = spark.createDataFrame([(1, "x \u0391\u03a3'\u0391 y"), (2, "x \u0391\u03a3 \u0391 y"), (3, "x \u03b1\u03c3 \u03b1 y")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "X \u0391\u03a3-\u0391 Y")], "item_id long, text string")
+    assert {r.doc_id: r.n_hit for r in decontam.decontaminate(docs, bench).collect()} == {1: 4, 2: 4, 3: 0}
+
+
 def test_lm(spark, docs, rows, none):
     from pyspark.sql import functions as F
 
