@@ -9,13 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from strata.llm import decontam, exact, exchange as X, mixing, neardup, toxicity
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in kept(doc_id), in the columns of docs. kept is broadcast only if it was counted to be small."""
-    kept = X.cut(kept.select("doc_id").distinct())
-    return docs.join(X.small_side(kept), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-
-
 def drop_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in dropped(doc_id), which is broadcast only if it was counted to be small."""
     dropped = X.cut(dropped.select("doc_id").distinct())
     return docs.join(X.small_side(dropped), docs["doc_id"].eqNullSafe(dropped["doc_id"]), "left_anti")
 
