@@ -14,8 +14,9 @@ connect its members to families; each family is compared on full sets, in memory
 matrices, block by block if it is large, and gives at most a link for two components and block. No partner
 or candidate is capped.
 
-For sets exactly at 85 % and the default parameters the signature distance exceeds the threshold with a
-probability below 1e-4; at 90 % below 1e-8.
+`distance` and `chunks` follow from the percentage: for sets exactly at it the signature distance exceeds
+`distance` with a probability below 1e-4 (80 %: distance 28, 6.0e-5; 85 %: 23, 7.7e-5), and of the ways to cut
+the slots into chunks that leave three slots or more in each key, the one with the fewest keys is taken.
 
 Defined cases: a text without words has an empty set and is linked with nothing. Rows that repeat a doc_id
 are one document if their sets are equal; else each set counts, under the same id. Rows without doc_id are
@@ -25,6 +26,7 @@ returned with null component_id, kept, and take no part.
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import exchange as X, kernels as K
 
-SLOTS, CHUNKS, DISTANCE = 72, 18, 23
-BITS = 8
+SLOTS, BITS = 72, 8
+#: Probability at most that two sets exactly at the percentage are further apart than `distance`, and slots of a key at least.
+MISS, KEY = 1e-4, 3
 
 
 def shingles(buf: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,6 +69,25 @@ def signatures(s: np.ndarray, first: np.ndarray, slots: int) -> np.ndarray:
     return out
 
 
+def miss(slots: int, percent: int, distance: int) -> float:
+    """Probability that signatures of two sets exactly at `percent` differ in more than `distance` slots."""
+    q = (1 - percent / 100) * (1 - 0.5**BITS)
+    return sum(comb(slots, k) * q**k * (1 - q) ** (slots - k) for k in range(distance + 1, slots + 1))
+
+
+def search(slots: int, percent: int) -> tuple[int, int]:
+    """(chunks, distance) for sets that share `percent` %."""
+    distance = next(d for d in range(slots + 1) if miss(slots, percent, d) < MISS)
+
+    def cost(chunks: int) -> tuple[bool, int]:
+        e, a = divmod(distance, chunks)
+        edges = np.linspace(0, slots, chunks + 1).astype(int)
+        kept = [(j - i, max(1, j - i - (e if k <= a else e - 1))) for k, (i, j) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if e or k <= a]
+        return min(k for _, k in kept) < KEY, sum(comb(n, k) for n, k in kept)
+
+    return min(range(1, slots + 1), key=cost), distance
+
+
 def index_parts(slots: int, chunks: int, distance: int) -> list[tuple[int, ...]]:
     """The slots of each key under which a signature is indexed."""
     e, a = divmod(distance, chunks)
@@ -317,10 +339,11 @@ def distant(distance: int):
     return run
 
 
-def dedup_near(docs: DataFrame, width: int = 5, percent: int = 80, slots: int = SLOTS, chunks: int = CHUNKS, distance: int = DISTANCE) -> DataFrame:
+def dedup_near(docs: DataFrame, width: int = 5, percent: int = 80, slots: int = SLOTS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text): component_id is the least doc_id that can be
     reached by links between texts whose sets of `width`-word shingles have percent % or more in common."""
     docs = X.narrow(docs, "doc_id", "text")
+    chunks, distance = search(slots, percent)
     sets = X.cut(docs.mapInArrow(sketch(width, slots), SETS))
     classes = X.cut(sets.filter("doc_id is not null and set_hash is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
     # an id with several sets stands for several classes; links by the id itself join them

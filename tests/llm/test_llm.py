@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -168,6 +169,31 @@ def test_neardup(spark, docs, rows, none, monkeypatch):
     assert sorted((r.doc_id or 0, r.component_id, r.kept) for r in neardup.dedup_near(odd).collect() if r.doc_id) == [(7, 7, True), (7, 7, True), (8, 8, True)]
 
 
+@pytest.mark.parametrize("percent", [70, 80, 85, 90])
+def test_neardup_distance_follows_the_percentage(percent):
+    chunks, distance = neardup.search(neardup.SLOTS, percent)
+    assert neardup.miss(neardup.SLOTS, percent, distance) < 1e-4 <= neardup.miss(neardup.SLOTS, percent, distance - 1)
+    parts, rng = neardup.index_parts(neardup.SLOTS, chunks, distance), random.Random(percent)
+    assert min(map(len, parts)) >= 3
+    for _ in range(500):  # any `distance` slots leave some key alone
+        bad = set(rng.sample(range(neardup.SLOTS), distance))
+        assert any(bad.isdisjoint(p) for p in parts)
+
+
+def test_neardup_finds_an_isolated_pair_at_80_percent(spark):
+    rng = random.Random(8)
+    while True:  # exactly 80 %: of 5-word shingles one changed last word takes one
+        w = [f"w{rng.randint(0, 10**9)}" for _ in range(49)]
+        pair = [" ".join(w), " ".join([*w[:-5], *(f"v{rng.randint(0, 10**9)}" for _ in range(5))])]
+        s, first = neardup.shingles(*K.buffers(pa.array(pair, pa.large_string())), 5)
+        sig = neardup.signatures(s, first, neardup.SLOTS)
+        if 23 < np.count_nonzero(sig[0] != sig[1]) <= 28:
+            break
+    assert len(np.intersect1d(s[: first[1]], s[first[1] :])) == 40 and len(np.unique(s)) == 50
+    out = neardup.dedup_near(spark.createDataFrame(list(enumerate(pair)), "doc_id long, text string"))
+    assert {r.component_id for r in out.collect()} == {0}
+
+
 def test_mixing(spark, docs, rows, none):
     out = mixing.mix(docs, shares=(0.3, 1.0)).collect()
     again = {r.doc_id: r.taken for r in mixing.mix(docs.repartition(5), shares=(0.3, 1.0)).collect()}
