@@ -19,8 +19,9 @@ or candidate is capped.
 the slots into chunks that leave three slots or more in each key, the one with the fewest keys is taken.
 
 Defined cases: a text without words has an empty set and is linked with nothing. Rows that repeat a doc_id
-are one document if their sets are equal; else each set counts, under the same id. Rows without doc_id are
-returned with null component_id, kept, and take no part.
+are one document if their sets are equal; else each set counts, under the same id, which links them (not so
+with `by_text`, where rows are told apart by doc_id and text). Rows without doc_id are returned with null
+component_id, kept, and take no part.
 """
 
 from __future__ import annotations
@@ -102,25 +103,34 @@ def index_parts(slots: int, chunks: int, distance: int) -> list[tuple[int, ...]]
 SETS = "doc_id long, n_shingles long, set_hash binary, sig binary"
 
 
+def names_of(s: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[bytes | None]]:
+    """The rows that have shingles, and for each row 128 bits that name its set: two sums of mixed hashes."""
+    some = np.flatnonzero(np.diff(first))
+    name = np.zeros((len(some), 2), np.uint64)
+    if len(some):
+        name[:, 0] = np.add.reduceat(K.mix(s), first[some])
+        name[:, 1] = np.add.reduceat(K.mix(s ^ np.uint64(0x5851F42D4C957F2D)), first[some])
+    out: list[bytes | None] = [None] * (len(first) - 1)
+    for k, r in enumerate(some.tolist()):
+        out[r] = name[k].tobytes()
+    return some, out
+
+
 def sketch(width: int, slots: int):
+    """(doc_id, n_shingles, set_hash, sig) and what columns follow doc_id and text."""
+
     def run(batches):
         for rb in batches:
             ids, none = K.ints(rb.column(0))
             buf, off = K.buffers(rb.column(1))
             for i, j in K.pieces(off, X.PIECE):
                 s, first = shingles(buf[off[i] : off[j]], off[i : j + 1] - off[i], width)
-                n = np.diff(first)
-                some = np.flatnonzero(n)
-                sig = signatures(s, first, slots)
-                # 128 bits that name a set: two sums of mixed hashes
-                name = np.zeros((len(some), 2), np.uint64)
-                if len(some):
-                    name[:, 0] = np.add.reduceat(K.mix(s), first[some])
-                    name[:, 1] = np.add.reduceat(K.mix(s ^ np.uint64(0x5851F42D4C957F2D)), first[some])
-                named, sigs = [None] * (j - i), [None] * (j - i)
+                some, named = names_of(s, first)
+                sig, sigs = signatures(s, first, slots), [None] * (j - i)
                 for k, r in enumerate(some.tolist()):
-                    named[r], sigs[r] = name[k].tobytes(), sig[k].tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64(), mask=none[i:j]), pa.array(n.astype(np.int64)), pa.array(named, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "set_hash", "sig"])
+                    sigs[r] = sig[k].tobytes()
+                rest = range(2, rb.num_columns)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64(), mask=none[i:j]), pa.array(np.diff(first).astype(np.int64)), pa.array(named, pa.binary()), pa.array(sigs, pa.binary()), *(rb.column(c).slice(i, j - i) for c in rest)], names=["doc_id", "n_shingles", "set_hash", "sig", *(rb.schema.names[c] for c in rest)])
 
     return run
 
@@ -149,7 +159,7 @@ def index(parts: list[tuple[int, ...]]):
 
 
 def full_sets(width: int):
-    """(doc_id, set): sorted shingle hashes of each row that has any."""
+    """(doc_id, set_hash, s): name and sorted shingle hashes of each row's set."""
 
     def run(batches):
         for rb in batches:
@@ -157,9 +167,10 @@ def full_sets(width: int):
             buf, off = K.buffers(rb.column(1))
             for i, j in K.pieces(off, X.PIECE):
                 s, first = shingles(buf[off[i] : off[j]], off[i : j + 1] - off[i], width)
+                _, named = names_of(s, first)
                 for r in range(0, j - i, 256):
                     q = min(j - i, r + 256)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i + r : i + q], pa.int64()), pa.array([s[a:b].tobytes() for a, b in zip(first[r:q].tolist(), first[r + 1 : q + 1].tolist())], pa.binary())], names=["doc_id", "s"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i + r : i + q], pa.int64()), pa.array(named[r:q], pa.binary()), pa.array([s[a:b].tobytes() for a, b in zip(first[r:q].tolist(), first[r + 1 : q + 1].tolist())], pa.binary())], names=["doc_id", "set_hash", "s"])
 
     return run
 
@@ -182,10 +193,12 @@ def similar(percent: int):
     return run
 
 
-def sets_of(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, s): the full sets of the documents in ids(doc_id)."""
-    wanted = docs.join(X.small_side(X.fit(ids.distinct())), "doc_id", "left_semi").select("doc_id", "text")
-    return X.cut(wanted.mapInArrow(full_sets(width), "doc_id long, s binary").dropDuplicates(["doc_id"]))
+def sets_of(ids: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, s): the full sets of the classes in ids(doc_id), by their names in classes(doc_id, rep, set_hash)."""
+    wanted = X.fit(classes.join(X.small_side(X.fit(ids.distinct())), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), F.col("rep").alias("doc_id"), "set_hash"))
+    texts = docs.join(X.small_side(wanted.select("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
+    sets = texts.mapInArrow(full_sets(width), "doc_id long, set_hash binary, s binary").dropDuplicates(["doc_id", "set_hash"])
+    return X.cut(sets.join(X.small_side(wanted), ["doc_id", "set_hash"]).select(F.col("node").alias("doc_id"), "s"))
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -339,17 +352,21 @@ def distant(distance: int):
     return run
 
 
-def dedup_near(docs: DataFrame, width: int = 5, percent: int = 80, slots: int = SLOTS) -> DataFrame:
+def dedup_near(docs: DataFrame, width: int = 5, percent: int = 80, slots: int = SLOTS, by_text: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text): component_id is the least doc_id that can be
-    reached by links between texts whose sets of `width`-word shingles have percent % or more in common."""
+    reached by links between texts whose sets of `width`-word shingles have percent % or more in common. With by_text also th, the
+    text's hash, and texts are not linked by an id that they share."""
     docs = X.narrow(docs, "doc_id", "text")
     chunks, distance = search(slots, percent)
-    sets = X.cut(docs.mapInArrow(sketch(width, slots), SETS))
-    classes = X.cut(sets.filter("doc_id is not null and set_hash is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
-    # an id with several sets stands for several classes; links by the id itself join them
-    own = sets.filter("doc_id is not null and set_hash is not null").select("doc_id", "set_hash").join(classes.select("set_hash", "rep"), "set_hash").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
+    extra = ["th"] if by_text else []
+    sets = X.cut(docs.withColumns({c: F.xxhash64("text") for c in extra}).mapInArrow(sketch(width, slots), SETS + "".join(f", {c} long" for c in extra)))
+    some = sets.filter("doc_id is not null and set_hash is not null").select("doc_id", "set_hash", "sig")
+    classes = X.cut(some.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
+    # a class is named by its least doc_id; further classes with the same one by a hash of their set
+    several = X.cut(classes.groupBy("rep").agg(F.count(F.lit(1)).alias("n"), F.min("set_hash").alias("least")).filter("n > 1").select("rep", "least"))
+    classes = X.cut(classes.join(X.small_side(several), "rep", "left").select("rep", "set_hash", "sig", F.when(F.col("least") != F.col("set_hash"), F.xxhash64("set_hash")).otherwise(F.col("rep")).alias("doc_id")))
     parts = index_parts(slots, chunks, distance)
-    keyed = classes.select(F.col("rep").alias("doc_id"), "sig")
+    keyed = classes.select("doc_id", "sig")
     found = keyed.select("doc_id", "sig").mapInArrow(index(parts), "key long, doc_id long, sig binary").select("key", "doc_id")
     # keys with more than one member: the least and the greatest are the hubs
     hubs = found.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
@@ -358,7 +375,7 @@ def dedup_near(docs: DataFrame, width: int = 5, percent: int = 80, slots: int =
     sig = keyed.dropDuplicates(["doc_id"])
     near = lambda p: p.join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("xa")), "a").join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("xb")), "b").select("a", "b", "xa", "xb").mapInArrow(distant(distance), "a long, b long")
     pairs = X.fit(near(pairs))
-    links = X.fit(confirm(pairs, sets_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), docs, width), percent))
+    links = X.fit(confirm(pairs, sets_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), classes, docs, width), percent))
     comp = X.fit(components(links))
     # what is left: members of a bucket that holds several components
     member = shared.select("key", "doc_id").join(comp, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
@@ -373,11 +390,18 @@ def dedup_near(docs: DataFrame, width: int = 5, percent: int = 80, slots: int =
     member = X.fit(member.select("doc_id", "comp").distinct().join(family, "doc_id"))
     size = member.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("family", "n")
     member = X.fit(member.join(size, "family"))
-    full = sets_of(member.select("doc_id"), docs, width)
+    full = sets_of(member.select("doc_id"), classes, docs, width)
     crowd = meetings(member, "family", "n", CROWD).select("doc_id", "comp", "family", "x", "y", "side").join(full, "doc_id")
     more = X.fit(crowd.groupBy("family", "x", "y").applyInArrow(family_links(percent), "a long, b long"))
-    comp = X.fit(components(links.union(more).union(own)))
-    by_class = classes.select("set_hash", "rep").join(comp.withColumnRenamed("doc_id", "rep"), "rep", "left").select("set_hash", F.coalesce("comp", "rep").alias("comp"))
-    out = sets.select("doc_id", "n_shingles", "set_hash").join(by_class, "set_hash", "left")
+    links = links.union(more)
+    if not by_text:  # an id with several sets stands for several classes, which it links
+        met = some.join(classes.select("set_hash", F.col("doc_id").alias("node")), "set_hash").select("doc_id", "node")
+        ends = X.cut(met.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("doc_id", "a"))
+        links = links.union(met.join(X.small_side(ends), "doc_id").select("a", F.col("node").alias("b")).filter("a <> b"))
+    comp = X.fit(components(links)).join(classes.select("doc_id", "rep"), "doc_id")
+    least = comp.groupBy("comp").agg(F.min("rep").alias("least"))
+    comp = X.fit(comp.join(least, "comp").select("doc_id", "least"))
+    by_class = classes.select("set_hash", "rep", "doc_id").join(comp, "doc_id", "left").select("set_hash", F.coalesce("least", "rep").alias("comp"))
+    out = sets.select("doc_id", "n_shingles", "set_hash", *extra).join(by_class, "set_hash", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *extra)

@@ -194,6 +194,17 @@ def test_neardup_finds_an_isolated_pair_at_80_percent(spark):
     assert {r.component_id for r in out.collect()} == {0}
 
 
+def test_neardup_of_repeated_ids(spark):
+    rng = random.Random(5)
+    text = lambda: [f"w{rng.randint(0, 10**9)}" for _ in range(100)]
+    a, b, c = text(), text(), text()
+    rows = [(1, a), (1, b), (1, c), (2, [*a[:-2], "x", "y"]), (3, [*b[:-2], "x", "y"]), (4, [*c[:-2], "x", "y"]), (5, text()), (0, [*c[:-2], "x", "z"])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    assert [r.component_id for r in sorted(neardup.dedup_near(df).collect())] == [0, 0, 0, 0, 0, 0, 0, 5]
+    got = {(r.doc_id, r.component_id, r.kept) for r in neardup.dedup_near(df, by_text=True).collect()}
+    assert got == {(0, 0, True), (1, 0, False), (1, 1, True), (2, 1, False), (3, 1, False), (4, 0, False), (5, 5, True)}
+
+
 def test_mixing(spark, docs, rows, none):
     out = mixing.mix(docs, shares=(0.3, 1.0)).collect()
     again = {r.doc_id: r.taken for r in mixing.mix(docs.repartition(5), shares=(0.3, 1.0)).collect()}
