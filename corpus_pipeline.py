@@ -4,31 +4,32 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strata.llm import decontam, exact, exchange as X, mixing, neardup, toxicity
 
 
 def drop_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in dropped(doc_id), which is broadcast only if it was counted to be small."""
-    dropped = X.cut(dropped.select("doc_id").distinct())
-    return docs.join(X.small_side(dropped), docs["doc_id"].eqNullSafe(dropped["doc_id"]), "left_anti")
+    """docs without the rows whose doc_id and text are in dropped(doc_id, th: hash of the text), which is broadcast only if it was counted to be
+    small. Other rows with the same doc_id, or also without one, stay."""
+    dropped = X.cut(dropped.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct())
+    return docs.join(X.small_side(dropped), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th")), "left_anti")
 
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression distance calls toxic go."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return drop_rows(docs, toxicity.score(docs, model).filter("score >= 0.3"))
+    return drop_rows(docs, toxicity.score(docs, model, by_text=True).filter("score >= 0.3"))
 
 
 def stage_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the least doc_id stays."""
-    return drop_rows(docs, exact.dedup_exact(docs).filter("not kept"))
+    return drop_rows(docs, exact.dedup_exact(docs, by_text=True).filter("not kept"))
 
 
 def stage_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts that share 80 % of their 5-word shingles the least doc_id stays."""
-    return drop_rows(docs, neardup.dedup_near(docs).filter("not kept"))
+    return drop_rows(docs, neardup.dedup_near(docs, by_text=True).filter("not kept"))
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

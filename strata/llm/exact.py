@@ -92,14 +92,16 @@ def repeated(packs: pa.Table) -> pa.Table:
     return pa.table({"fp": pa.array(f[n > 1].view(np.int64)), "n": pa.array(n[n > 1].astype(np.int64))})
 
 
-def dedup_exact(docs: DataFrame) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 (of the text with runs of blanks as one space) for each row of docs(doc_id, text)."""
+def dedup_exact(docs: DataFrame, by_text: bool = False) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 (of the text with runs of blanks as one space) for each row of docs(doc_id, text); with
+    by_text also th, the text's hash."""
+    extra = ["th"] if by_text else []
     norm = F.regexp_replace(F.coalesce("text", F.lit("")), BLANKS, " ")
-    base = docs.select("doc_id", norm.alias("norm")).select("doc_id", "norm", F.xxhash64("norm").alias("fp"))
-    prints = X.cut(base.select("doc_id", "fp", F.sha2("norm", 256).alias("text_sha256")))
+    base = docs.select("doc_id", norm.alias("norm"), *(F.xxhash64("text").alias(c) for c in extra)).select("doc_id", "norm", F.xxhash64("norm").alias("fp"), *extra)
+    prints = X.cut(base.select("doc_id", "fp", F.sha2("norm", 256).alias("text_sha256"), *extra))
     twice = X.cut(prints.select("fp").mapInArrow(build_filters(bits := X.bucket_bits(docs, 64 << 20)), X.PACKED).groupBy("bucket").applyInArrow(repeated, "fp long, n long"))
     same = base.join(X.small_side(twice.select("fp")), "fp").groupBy("fp", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     same = X.cut(same.select("fp", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size").filter("group_size > 1"))
     out = prints.join(X.small_side(same), ["fp", "text_sha256"], "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
+    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256", *extra)

@@ -173,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, longest: int =
 
 
 def apply(model: Model):
-    """mapInArrow function: (doc_id, text) to (doc_id, score, distance)."""
+    """mapInArrow function: (doc_id, text, ...) to (doc_id, score, distance, ...)."""
 
     def run(batches):
         measure = Measure(model)
@@ -190,14 +190,15 @@ def apply(model: Model):
                 some = np.flatnonzero(np.diff(first))
                 if len(some):
                     worst[i + some] = np.maximum(np.maximum.reduceat(d[back], first[some]), 0)
-            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(model.score(worst)), pa.array(worst)], names=["doc_id", "score", "distance"])
+            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(model.score(worst)), pa.array(worst), *rb.columns[2:]], names=["doc_id", "score", "distance", *rb.schema.names[2:]])
 
     return run
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, score, distance for each row of docs(doc_id, text)."""
+def score(docs: DataFrame, model: Model | None, by_text: bool = False) -> DataFrame:
+    """doc_id, score, distance for each row of docs(doc_id, text); with by_text also th, the text's hash."""
     X.small_batches(docs)
+    extra = [F.xxhash64("text").alias("th")] if by_text else []
     if model is None:
-        return docs.select("doc_id", F.lit(0.0).alias("score"), F.lit(0.0).alias("distance"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(apply(model), "doc_id long, score double, distance double")
+        return docs.select("doc_id", F.lit(0.0).alias("score"), F.lit(0.0).alias("distance"), *extra)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra).mapInArrow(apply(model), "doc_id long, score double, distance double" + ", th long" * by_text)

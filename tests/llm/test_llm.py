@@ -363,3 +363,25 @@ def test_pipeline_is_the_stages_in_turn(spark):
     kept = [r for r in first.values() if comp[r.doc_id][1] == r.doc_id]
     judged = decontam.decontaminate(spark.createDataFrame(kept, "doc_id long, text string"), spark.read.parquet(f"{sf}/benchmark.parquet"))
     assert set(out) == {r.doc_id for r in judged.filter("not contaminated").collect()}
+
+
+def test_pipeline_drops_rows_not_ids(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as P
+
+    rng = random.Random(6)
+    text = lambda n=60: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    base, near = text(), text()
+    clean = [(None, text()), (None, text()), (7, text()), (8, text()), (9, text()), (1, base), (2, near)]
+    gone = {"stage_toxicity": [(None, ["grumpf"]), (7, ["grumpf", "x"])], "stage_exact": [(None, base), (8, base)], "stage_neardup": [(9, [*near[:-1], "x"])]}
+    far = toxicity.Model(toxicity.window(b"grumpf"), b" " * 8, True, (0.0, 1.0), (0.0, 1.0))
+    d = toxicity.Measure(far)
+    most = max(d(w.encode()) for _, x in clean for w in x)
+    assert d(b"grumpf") > max(most, 0)
+    model = toxicity.Model(far.toxic, far.ordinary, True, (float(max(most, 0)), float(d(b"grumpf"))), (0.0, 1.0))
+    monkeypatch.setattr(P.toxicity, "train", lambda *_: model)
+    spark.createDataFrame([(1, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    key = lambda rows: sorted((str(i), " ".join(w)) for i, w in rows)
+    for stage, bad in gone.items():
+        df = spark.createDataFrame([(i, " ".join(w)) for i, w in clean + bad], "doc_id long, text string")
+        out = getattr(P, stage)(spark, df, str(tmp_path)).collect()
+        assert key((r.doc_id, r.text.split(" ")) for r in out) == key(clean), stage
