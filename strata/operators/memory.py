@@ -84,34 +84,51 @@ def with_relations(hits: DataFrame, relations: DataFrame, key: str = "id") -> Da
     return hits.join(r, key, "left")
 
 
-def semantic_add(items: DataFrame, block: str, threshold: float = NEAR_DUPLICATE) -> DataFrame:
-    """items(id, block, embedding, importance) added in the order of id: one whose cosine with a kept item of its block exceeds the threshold goes
-    to the most similar one, which takes the greater importance. Returns id, kept_id, importance (of the kept item, at the end). A block is one
-    group of a Python worker: blocks should be small, by tag or by hash of a coarse vector."""
+#: Items added at a time, and kept items that one matrix product compares them with.
+ADDED, COMPARED = 512, 8192
+
+
+def semantic_add(items: DataFrame, block: str | None = None, threshold: float = NEAR_DUPLICATE) -> DataFrame:
+    """items(id, embedding, importance) added in the order of id: one whose cosine with a kept item of the collection exceeds the threshold goes
+    to the most similar one, which takes the greater importance. Returns id, kept_id, importance (of the kept item, at the end). The order is
+    sequential, so a collection is one group of a Python worker; `block` names a column that tells collections apart."""
     import numpy as np
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        kept: list[int] = []
         unit = np.stack(pdf["embedding"].to_numpy()).astype(float)
         size = np.linalg.norm(unit, axis=1, keepdims=True)
         unit = unit / np.where(size == 0, 1, size)
         target, weight = np.arange(len(pdf)), pdf["importance"].to_numpy(float).copy()
-        for i in range(len(pdf)):
-            if kept:
-                sim = unit[kept] @ unit[i]
-                j = int(np.argmax(sim))
-                if sim[j] > threshold:
-                    target[i] = kept[j]
-                    weight[kept[j]] = max(weight[kept[j]], weight[i])
-                    continue
-            kept.append(i)
+        kept, n = np.zeros(len(pdf), np.int64), 0
+        held = np.zeros_like(unit)
+        for i in range(0, len(pdf), ADDED):
+            new = unit[i : i + ADDED]
+            best, near = np.full(len(new), -2.0), np.zeros(len(new), np.int64)
+            for k in range(0, n, COMPARED):
+                sim = new @ held[k : min(n, k + COMPARED)].T
+                at = sim.argmax(axis=1)
+                top = sim[np.arange(len(new)), at]
+                near, best = np.where(top > best, k + at, near), np.maximum(top, best)
+            among, before = new @ new.T, n
+            for r in range(len(new)):
+                fresh = kept[before:n] - i
+                if len(fresh):
+                    at = int(among[r, fresh].argmax())
+                    if among[r, fresh[at]] > best[r]:
+                        best[r], near[r] = among[r, fresh[at]], before + at
+                if best[r] > threshold:
+                    target[i + r] = kept[near[r]]
+                    weight[target[i + r]] = max(weight[target[i + r]], weight[i + r])
+                else:
+                    held[n], kept[n] = new[r], i + r
+                    n += 1
         ids = pdf["id"].to_numpy()
         return pd.DataFrame({"id": ids, "kept_id": ids[target], "importance": weight[target]})
 
     kind = dict(items.dtypes)["id"]
-    return items.select("id", block, "embedding", "importance").groupBy(block).applyInPandas(run, f"id {kind}, kept_id {kind}, importance double")
+    return items.select("id", "embedding", "importance", *[block] * bool(block)).groupBy(*[block] * bool(block)).applyInPandas(run, f"id {kind}, kept_id {kind}, importance double")
 
 
 def cross_tier(tiers: dict[str, DataFrame], limit: int = 10) -> DataFrame:

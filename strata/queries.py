@@ -226,12 +226,12 @@ def cross_tier_search(spark, d):
 
 @query("WITH n AS (SELECT max(vec_id) + 1 AS n FROM embeddings), c AS (SELECT vec_id AS id, vec_id AS kept_id FROM embeddings UNION ALL SELECT vec_id + n, vec_id FROM embeddings, n) SELECT id, kept_id, max(id % 11) OVER (PARTITION BY kept_id) / 10.0::DOUBLE AS importance FROM c")
 def semantic_near_duplicate(spark, d):
-    # each vector and a noisy copy of it; blocks of 20 neighbours and their copies
+    # each vector and a noisy copy of it, in one collection
     p = read(spark, d, "embeddings")
     n = p.agg((F.max("vec_id") + 1).alias("n"))  # one row
-    copy = p.crossJoin(F.broadcast(n)).select((F.col("vec_id") + F.col("n")).alias("id"), F.transform("embedding", lambda x: x + 0.01).alias("embedding"), F.floor(F.col("vec_id") / 20).alias("block"))
-    both = p.select(F.col("vec_id").alias("id"), "embedding", F.floor(F.col("vec_id") / 20).alias("block")).union(copy)
-    return memory.semantic_add(both.withColumn("importance", F.col("id") % 11 / 10.0), "block")
+    copy = p.crossJoin(F.broadcast(n)).select((F.col("vec_id") + F.col("n")).alias("id"), F.transform("embedding", lambda x: x + 0.01).alias("embedding"))
+    both = p.select(F.col("vec_id").alias("id"), "embedding").union(copy)
+    return memory.semantic_add(both.withColumn("importance", F.col("id") % 11 / 10.0))
 
 
 @query("WITH " + BOTH + " SELECT DISTINCT id, neighbour FROM u")

@@ -158,3 +158,25 @@ def test_stream_over_batches(spark, tmp_path):
         q.awaitTermination()
     spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     assert [x for x in out if x][-1] == [(7, 5 + 2), (8, 7), (9, 7)] or [i for i, _ in [x for x in out if x][-1]] == [7, 8, 9]
+
+
+def test_semantic_near_duplicate_searches_the_whole_collection(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    from strata import queries as Q
+
+    monkeypatch.setattr(M, "ADDED", 7)
+    monkeypatch.setattr(M, "COMPARED", 5)
+    rng = np.random.RandomState(3)
+    v = rng.normal(size=(90, 16))
+    v[70:80] = v[3:13] + 0.01 * rng.normal(size=(10, 16))  # far apart in id
+    spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    every, kept, want = np.concatenate([v, v + 0.01]), [], {}
+    for i, x in enumerate(every):
+        sim = [x @ every[k] / np.linalg.norm(x) / np.linalg.norm(every[k]) for k in kept]
+        want[i] = kept[int(np.argmax(sim))] if sim and max(sim) > 0.9 else i
+        kept += [i] * (want[i] == i)
+    weight = {k: max(i % 11 / 10 for i in want if want[i] == k) for k in kept}
+    assert [want[i] for i in range(70, 80)] == list(range(3, 13))
+    got = {r.id: (r.kept_id, r.importance) for r in Q.semantic_near_duplicate(spark, str(tmp_path)).collect()}
+    assert got == {i: (k, weight[k]) for i, k in want.items()}
