@@ -12,8 +12,8 @@ from strata.llm import decontam, exact, exchange as X, mixing, neardup, toxicity
 def drop_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id and text are in dropped(doc_id, th: hash of the text), which is broadcast only if it was counted to be
     small. Other rows with the same doc_id, or also without one, stay."""
-    dropped = X.cut(dropped.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct())
-    return docs.join(X.small_side(dropped), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th")), "left_anti")
+    dropped = X.cut(dropped.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct())
+    return docs.join(X.small_side(dropped), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th")), "left_anti")
 
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,8 @@ def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def stage_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the least doc_id stays."""
-    return drop_rows(docs, exact.dedup_exact(docs, by_text=True).filter("not kept"))
+    """Of equal texts the least doc_id stays, and of its rows one."""
+    return exact.keep_first(docs)
 
 
 def stage_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +48,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    X.cut(spark.range(1))  # sets the folder where none is set
-    shared = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    base = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    base = f"{X.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}-{name}")

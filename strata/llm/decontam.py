@@ -10,7 +10,8 @@ else depend on what follows); windows are compared by the contract's own case ru
 same joins shuffle.
 
 Defined cases: null or wordless texts and items have no windows. Rows are told apart by doc_id and text, so
-null and repeated doc_ids are judged by their own text. Item ids that repeat count once; null ones never.
+null and repeated doc_ids are judged by their own text. Item ids that repeat count once; all items without id
+count as one more, whose windows hit like any other's but which isn't listed.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ def lowered(text: Column) -> Column:
 
 def item_windows(benchmark: DataFrame, width: int) -> DataFrame:
     """len, key, item: the distinct windows of each item; key has the words lower-cased A-Z, with single spaces."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.translate("text", UPPER, LOW)).alias("w")).filter(F.col("item").isNotNull() & (F.size("w") > 0))
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.translate("text", UPPER, LOW)).alias("w")).filter(F.size("w") > 0)
     items = items.withColumn("len", F.least(F.size("w"), F.lit(width)))
     return items.select("item", "len", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("len") + 1), lambda i: F.concat_ws(" ", F.slice("w", i, F.col("len"))))).alias("key")).distinct()
 
@@ -71,25 +72,25 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, width: int = 13, gram: i
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, most: int = 200_000) -> DataFrame:
-    """For each row of docs(doc_id, text): n_words, n_hit, items (sorted ids of items with windows in it), spans (maximal
+    """For each row of docs(doc_id, text): n_words, n_hit, n_items, items (sorted ids of items with windows in it), spans (maximal
     hit runs of words, from 0, end exclusive), contaminated (share * n_hit >= n_words and a hit), and th, its text's hash."""
     hits = find_windows(docs, benchmark, width, most=most)
     spans = F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("len")).alias("end"))))
-    hits = hits.groupBy("doc_id", "th").agg(spans.alias("s"), F.array_sort(F.collect_set("item")).alias("items"))
+    hits = hits.groupBy("doc_id", "th").agg(spans.alias("s"), F.array_sort(F.collect_set("item")).alias("items"), F.max(F.col("item").isNull().cast("int")).alias("unnamed"))
     # overlapping and touching spans, in order, become one
     merged = F.aggregate("s", F.expr("cast(array() as array<struct<start:int,end:int>>)"), lambda acc, x: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= x["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(acc, F.lit(-1))["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"))))))
-    hits = hits.select("doc_id", "th", "items", merged.alias("spans"))
+    hits = hits.select("doc_id", "th", "items", (F.size("items") + F.col("unnamed")).alias("n_items"), merged.alias("spans"))
     base = docs.select("doc_id", F.xxhash64("text").alias("th"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     out = base.alias("d").join(hits.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.th") == F.col("h.th")), "left")
     n_hit = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"]), F.lit(0).cast("long"))
-    out = out.select(F.col("d.doc_id").alias("doc_id"), F.col("d.th").alias("th"), "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans")
+    out = out.select(F.col("d.doc_id").alias("doc_id"), F.col("d.th").alias("th"), "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 
 def remove_documents(docs: DataFrame, judged: DataFrame) -> DataFrame:
     """docs without the contaminated ones. judged: what decontaminate() gives for them."""
-    bad = judged.filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th")), "left_anti")
+    bad = X.cut(judged.filter("contaminated").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct())
+    return docs.join(X.small_side(bad), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th")), "left_anti")
 
 
 def remove_spans(docs: DataFrame, judged: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ are compared, byte by byte, by grouping on the text itself, with partial aggrega
 with a third of all rows leaves each map task as one row.
 
 Defined cases: null text counts as empty. Copies without doc_id come after those with one: of a group with
-no doc_id at all keep_id is null. Rows that repeat both doc_id and text are each marked kept.
+no doc_id at all keep_id is null. Rows that repeat both doc_id and text are each marked kept; `keep_first`, which
+the pipeline uses, leaves one of them.
 """
 
 from __future__ import annotations
@@ -36,7 +37,11 @@ class QuotientFilter:
         new = np.ones(len(f), bool)
         new[1:] = f[1:] != f[:-1]
         at = np.flatnonzero(new)
-        f, c = f[at], np.add.reduceat(c, at) if len(at) else c
+        return cls.from_sorted(f[at], np.add.reduceat(c, at) if len(at) else c, skip)
+
+    @classmethod
+    def from_sorted(cls, f: np.ndarray, c: np.ndarray, skip: int) -> QuotientFilter:
+        """f: different fingerprints in order."""
         bits = max(1, min(63 - skip, int(np.ceil(np.log2(max(2, len(f)))))))
         body = f << np.uint64(skip) if skip else f
         q = (body >> np.uint64(64 - bits)).astype(np.int64)
@@ -54,8 +59,15 @@ class QuotientFilter:
         return (f | (np.uint64(prefix) << np.uint64(64 - self.skip)) if self.skip else f), self.counts
 
     def merge(self, other: QuotientFilter, prefix: int) -> QuotientFilter:
+        """Both hold their remainders in order, so one pass finds where each of the other's goes; what both have adds up."""
         (a, m), (b, n) = self.items(prefix), other.items(prefix)
-        return QuotientFilter.of(np.concatenate([a, b]), np.concatenate([m, n]), self.skip)
+        at = np.searchsorted(a, b)
+        both = np.zeros(len(b), bool)
+        inside = at < len(a)
+        both[inside] = a[at[inside]] == b[inside]
+        m = m.copy()
+        m[at[both]] += n[both]
+        return QuotientFilter.from_sorted(np.insert(a, at[~both], b[~both]), np.insert(m, at[~both], n[~both]), self.skip)
 
     def dump(self) -> tuple[bytes, bytes, bytes, bytes]:
         head = np.array([self.bits, self.skip, len(self.counts)], np.int64).tobytes()
@@ -70,14 +82,23 @@ class QuotientFilter:
 
 def build_filters(bits: int):
     def run(batches):
-        held: dict[int, QuotientFilter] = {}
+        held: dict[int, list[QuotientFilter]] = {}
         for rb in batches:
             f = K.ints(rb.column(0))[0].view(np.uint64)
             for b, at in X.by_bucket(X.top_bits(f, bits)):
-                one = QuotientFilter.of(f[at], np.ones(len(at), np.int64), bits)
-                held[b] = held[b].merge(one, b) if b in held else one
-        if held:
-            yield X.batch([(b, 0, *q.dump()) for b, q in held.items()])
+                stack = held.setdefault(b, [])
+                stack.append(QuotientFilter.of(f[at], np.ones(len(at), np.int64), bits))
+                while len(stack) > 1 and len(stack[-2].counts) <= 2 * len(stack[-1].counts):  # so that a fingerprint is merged a few times only
+                    last = stack.pop()
+                    stack[-1] = stack[-1].merge(last, b)
+        out = []
+        for b, stack in held.items():
+            while len(stack) > 1:
+                last = stack.pop()
+                stack[-1] = stack[-1].merge(last, b)
+            out.append((b, 0, *stack[0].dump()))
+        if out:
+            yield X.batch(out)
 
     return run
 
@@ -99,9 +120,28 @@ def dedup_exact(docs: DataFrame, by_text: bool = False) -> DataFrame:
     norm = F.regexp_replace(F.coalesce("text", F.lit("")), BLANKS, " ")
     base = docs.select("doc_id", norm.alias("norm"), *(F.xxhash64("text").alias(c) for c in extra)).select("doc_id", "norm", F.xxhash64("norm").alias("fp"), *extra)
     prints = X.cut(base.select("doc_id", "fp", F.sha2("norm", 256).alias("text_sha256"), *extra))
-    twice = X.cut(prints.select("fp").mapInArrow(build_filters(bits := X.bucket_bits(docs, 64 << 20)), X.PACKED).groupBy("bucket").applyInArrow(repeated, "fp long, n long"))
+    bits = X.bits_for(16 * prints.count(), 64 << 20)
+    twice = X.cut(prints.select("fp").mapInArrow(build_filters(bits), X.PACKED).groupBy("bucket").applyInArrow(repeated, "fp long, n long"))
     same = base.join(X.small_side(twice.select("fp")), "fp").groupBy("fp", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     same = X.cut(same.select("fp", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size").filter("group_size > 1"))
     out = prints.join(X.small_side(same), ["fp", "text_sha256"], "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256", *extra)
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """docs with one row of each normalised text: the least doc_id's; of rows that share that too the one with the least hash of its text, then of all its columns."""
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    judged = X.cut(dedup_exact(docs, by_text=True))
+    gone = X.cut(judged.filter("not kept").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct())
+    # rows that their doc_id doesn't tell apart
+    twice = judged.filter("kept and group_size > 1").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"), F.min("th").alias("th"), F.collect_set("th").alias("all")).filter("n > 1")
+    twice = X.cut(twice.select("doc_id", "th", F.explode("all").alias("each")))
+    same = lambda th: F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col(th))
+    out = docs.join(X.small_side(gone), same("__th"), "left_anti")
+    if twice.isEmpty():
+        return out
+    side = X.small_side(twice.select(F.col("doc_id").alias("__id"), F.col("each").alias("__each"), F.col("th").alias("__least")))
+    alone = out.join(side, same("__each"), "left_anti")
+    first = out.join(side, same("__each") & (F.col("__each") == F.col("__least")), "left_semi").groupBy(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__th")).agg(F.min_by(every, F.xxhash64(every)).alias("__row"))
+    return alone.unionByName(first.select("__row.*"))

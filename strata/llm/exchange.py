@@ -2,8 +2,11 @@
 
 A window, an anchor or a token is 8 bytes; as a Spark row it would be 40 and a few microseconds. Map tasks
 sort what a batch holds by bucket and emit one row of packed columns for each bucket; a bucket is a group
-of `applyInArrow`. The number of buckets follows the size of the input, so a group stays near 16 MB at any
-scale, and every function is deterministic in its input rows, so a lost task is simply run again.
+of `applyInArrow`. The number of buckets follows the counted bytes of the input, so a group stays near 16 MB at
+any scale; beyond some 2**16 buckets a packed row holds few values, and the bytes shuffled for each value rise.
+Every function is deterministic in its input rows, so a lost task is simply run again.
+
+A document is told by its doc_id and a version: 0, or a hash of the text where rows repeat the doc_id.
 """
 
 from __future__ import annotations
@@ -29,15 +32,36 @@ def small_batches(df: DataFrame) -> None:
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
 
 
-def size_in_bytes(df: DataFrame) -> int:
-    """What the optimizer knows of the size of df, mostly from its files. No job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts of docs(text), counted."""
+    small_batches(docs)
+    return docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
 
 
-def bucket_bits(df: DataFrame, bytes_each: int = 8 << 20, most: int = 20) -> int:
-    """log2 of the number of buckets such that one stands for about `bytes_each` of df."""
-    small_batches(df)
-    return int(min(most, max(3, math.ceil(math.log2(max(1, size_in_bytes(df) / bytes_each))))))
+def bits_for(size: int, bytes_each: int = 8 << 20) -> int:
+    """log2 of the number of buckets such that one stands for about `bytes_each` of `size` bytes."""
+    return max(3, math.ceil(math.log2(max(1, size / bytes_each))))
+
+
+def versioned(docs: DataFrame) -> tuple[DataFrame, int]:
+    """docs(doc_id, version, text) and the bytes of its texts. version: 0, or a hash of the text where the doc_id repeats, so different
+    texts under one doc_id are different documents, and rows that repeat both are one."""
+    small_batches(docs)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    seen = cut(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text").cast("long")).alias("size")))
+    size = seen.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    again = seen.filter("doc_id is not null and n > 1").select("doc_id", F.lit(True).alias("again"))
+    if again.isEmpty():
+        return docs.select("doc_id", F.lit(0).cast("long").alias("version"), "text"), size
+    return docs.join(small_side(again), "doc_id", "left").select("doc_id", F.when(F.col("again"), F.xxhash64("text")).otherwise(0).alias("version"), "text"), size
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir. Where it names none, a folder of this machine, if all tasks run on it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+    return folder or tempfile.mkdtemp(prefix="strata-")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -45,7 +69,7 @@ def cut(df: DataFrame) -> DataFrame:
     small_batches(df)
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strata-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -116,52 +140,50 @@ def top_bits(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int32)
 
 
-def id_bucket(ids: np.ndarray, bits: int) -> np.ndarray:
-    """The bucket of a doc_id: consecutive ids are dealt evenly."""
+def id_bucket(ids: np.ndarray, bits: int, version: np.ndarray | int = 0) -> np.ndarray:
+    """The bucket of a document: consecutive ids are dealt evenly, and so are the texts of one id."""
     from .kernels import mix
 
-    return top_bits(mix(ids.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), bits)
+    return top_bits(mix((ids.astype(np.int64) ^ version).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), bits)
 
 
 #: Rows of a packed exchange. kind 0: values to be resolved in their bucket; kind 1: results that only pass through.
-PACKED = "bucket int, kind int, a binary, b binary, c binary, h binary"
-PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in "abch")])
+PACKED = "bucket int, kind int, a binary, b binary, c binary, h binary, v binary"
+PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in "abchv")])
 
 
 def batch(rows: list[tuple], schema: pa.Schema = PACKED_ARROW) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+    """rows as a record batch; what rows leave out at their end is null."""
+    return pa.RecordBatch.from_arrays([pa.array([r[i] if i < len(r) else None for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
 def table(rows: list[tuple], schema: pa.Schema = PACKED_ARROW) -> pa.Table:
     return pa.Table.from_batches([batch(rows, schema)])
 
 
-def places(ids: np.ndarray, pos: np.ndarray, bits: int, kind: int = 1) -> list[tuple]:
-    """(doc_id, position) pairs as packed rows, one for each bucket of ids."""
+def places(ids: np.ndarray, ver: np.ndarray, pos: np.ndarray, bits: int, kind: int = 1) -> list[tuple]:
+    """(doc_id, version, position) as packed rows, one for each bucket of documents."""
     out = []
-    for b, at in by_bucket(id_bucket(ids, bits)):
-        at = at[np.lexsort((pos[at], ids[at]))]
-        out.append((b, kind, pack_ints(ids[at]), pack_ints(pos[at]), None, None))
+    for b, at in by_bucket(id_bucket(ids, bits, ver)):
+        at = at[np.lexsort((pos[at], ver[at], ids[at]))]
+        out.append((b, kind, pack_ints(ids[at]), pack_ints(pos[at]), None, None, pack_ints(ver[at])))
     return out
 
 
-#: Texts on their way to the bucket of their doc_id.
-TEXTS = "bucket int, kind int, a binary, b binary, c binary, h binary"
-
-
 def pack_texts(bits: int):
-    """mapInArrow function: (doc_id, text) into compressed packs by the bucket of doc_id. Rows without doc_id are dealt by position."""
+    """mapInArrow function: (doc_id, version, text) into compressed packs by the bucket of the document. Rows without doc_id are dealt by position."""
     from .kernels import buffers, ints, pieces
 
     def run(batches):
         for rb in batches:
             ids, none = ints(rb.column(0))
-            buf, off = buffers(rb.column(1))
+            ver, _ = ints(rb.column(1))
+            buf, off = buffers(rb.column(2))
             for i, j in pieces(off, 8 * PIECE):
                 rows, size = [], np.diff(off[i : j + 1])
-                for b, at in by_bucket(id_bucket(np.where(none[i:j], np.arange(i, j), ids[i:j]), bits)):
+                for b, at in by_bucket(id_bucket(np.where(none[i:j], np.arange(i, j), ids[i:j]), bits, ver[i:j])):
                     body = b"".join(buf[off[i + k] : off[i + k + 1]].tobytes() for k in at)
-                    rows.append((b, 0, pack_ints(ids[i:j][at]), pack_ints(size[at]), squeeze(body), none[i:j][at].tobytes()))
+                    rows.append((b, 0, pack_ints(ids[i:j][at]), pack_ints(size[at]), squeeze(body), none[i:j][at].tobytes(), pack_ints(ver[i:j][at])))
                 if rows:
                     yield batch(rows)
 
@@ -169,20 +191,22 @@ def pack_texts(bits: int):
 
 
 def unpack_texts(packs: pa.Table):
-    """(doc_ids, mask of null ids, bytes, offsets) for each packed row."""
-    for a, b, c, h in zip(*(packs.column(x).to_pylist() for x in "abch")):
+    """(doc_ids, versions, mask of null ids, bytes, offsets) for each packed row."""
+    for a, b, c, h, v in zip(*(packs.column(x).to_pylist() for x in "abchv")):
         size = unpack_ints(b)
-        yield unpack_ints(a), np.frombuffer(h, bool), np.frombuffer(expand(c), np.uint8), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-
-
-def unpack_places(packs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(doc_ids, positions) of packed pairs, sorted by both, each pair once."""
-    if packs.num_rows == 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    ids = np.concatenate([unpack_ints(x) for x in packs.column("a").to_pylist()])
-    pos = np.concatenate([unpack_ints(x) for x in packs.column("b").to_pylist()])
-    order = np.lexsort((pos, ids))
-    ids, pos = ids[order], pos[order]
-    new = np.ones(len(ids), bool)
-    new[1:] = (ids[1:] != ids[:-1]) | (pos[1:] != pos[:-1])
-    return ids[new], pos[new]
+        yield unpack_ints(a), unpack_ints(v), np.frombuffer(h, bool), np.frombuffer(expand(c), np.uint8), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+
+
+class Marks:
+    """What is known of each document: values by (doc_id, version), in the order of the position."""
+
+    def __init__(self, packs: pa.Table, *columns: str):
+        cols = [np.concatenate([unpack_ints(x) for x in packs.column(c).to_pylist()]) if packs.num_rows else np.zeros(0, np.int64) for c in ("a", "v", *columns)]
+        order = np.lexsort((cols[2], cols[1], cols[0]))
+        ids, ver, *self.values = (c[order] for c in cols)
+        edge = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (ver[1:] != ver[:-1]), [True]])) if len(ids) else np.zeros(1, np.int64)
+        self.where = dict(zip(zip(ids[edge[:-1]].tolist(), ver[edge[:-1]].tolist()), zip(edge[:-1].tolist(), edge[1:].tolist())))
+
+    def of(self, ids: np.ndarray, ver: np.ndarray, none: np.ndarray) -> list[tuple[int, int]]:
+        """The range of values of each document; that of documents without doc_id is empty."""
+        return [(0, 0) if x else self.where.get((i, v), (0, 0)) for i, v, x in zip(ids.tolist(), ver.tolist(), none.tolist())]

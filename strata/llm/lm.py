@@ -403,10 +403,12 @@ def gather(packs: pa.Table) -> pa.Table:
 
 def score(docs: DataFrame, training: Column, head: int = 65_536, symbols: int = 1000, width: int = 16, rounds: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs(doc_id, text). training: a boolean of doc_id."""
+    X.small_batches(docs)
     learn = docs.filter(training).select("text")
-    bits = X.bucket_bits(docs)
+    size, rows = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)), F.coalesce(F.sum(training.cast("long")), F.lit(0))).first()
+    bits = X.bits_for(size)
     counts = X.cut(learn.mapInArrow(count_tokens(bits), X.PACKED).groupBy("bucket").applyInArrow(sum_counts, X.PACKED))
-    vocab = vocabulary(counts, learn.count(), head, symbols)
+    vocab = vocabulary(counts, rows, head, symbols)
     flat = train(learn, vocab, width, rounds).flat()
     packs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score_rows(vocab, flat, width, bits), X.PACKED)
     met = packs.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(resolve(vocab, bits), X.PACKED)

@@ -15,8 +15,9 @@ each window of `width` bytes belongs to its minimizer, the least hash of the 32-
 Minimizers that occur at least `hot` times (raised so that no more than 65,536 can exist) send their windows
 one by one, by the window's own hash, so no bucket holds a passage of a third of all rows with its contexts.
 
-Defined cases: null text is empty. Rows without doc_id take no part and lose nothing. Rows that share a
-doc_id count as one document: equal rows keep what either may keep. Order is (doc_id, start).
+Defined cases: null text is empty. Rows without doc_id take no part and lose nothing. Different texts under one
+doc_id are different documents, in the order of a hash of the text; rows that repeat both are one document and
+keep the same. Order is (doc_id, that hash, start).
 """
 
 from __future__ import annotations
@@ -68,7 +69,8 @@ def hash_anchors(width: int, bits: int):
     def run(batches):
         for rb in batches:
             ids, none = K.ints(rb.column(0))
-            buf, off = K.buffers(rb.column(1))
+            ver, _ = K.ints(rb.column(1))
+            buf, off = K.buffers(rb.column(2))
             for i, j in K.pieces(off, X.PIECE):
                 base = off[i : j + 1] - off[i]
                 row, _, _, at, h = segments(buf[off[i] : off[j]], base, width)
@@ -80,7 +82,7 @@ def hash_anchors(width: int, bits: int):
                 rows = []
                 for b, k in X.by_bucket(X.top_bits(h, bits)):
                     change = np.flatnonzero(np.diff(row[k], prepend=-1))
-                    rows.append((b, 0, X.pack_ints(ids[i:j][row[k]][change]), X.pack_ints(np.diff(np.append(change, len(k)))), X.pack_ints(at[k] - base[row[k]] + (row[k] << 32)), X.pack_hashes(h[k])))
+                    rows.append((b, 0, X.pack_ints(ids[i:j][row[k]][change]), X.pack_ints(np.diff(np.append(change, len(k)))), X.pack_ints(at[k] - base[row[k]] + (row[k] << 32)), X.pack_hashes(h[k]), X.pack_ints(ver[i:j][row[k]][change])))
                 if rows:
                     yield X.batch(rows)
 
@@ -92,15 +94,15 @@ def repeated(id_bits: int, hot: int):
 
     def run(packs: pa.Table) -> pa.Table:
         rows, bits = [], packs.column("bucket")[0].as_py()
-        a, b, c, x = (packs.column(n).to_pylist() for n in "abch")
+        a, b, c, x, alt = (packs.column(n).to_pylist() for n in "abchv")
         h = np.concatenate([X.unpack_hashes(v) for v in x])
-        own = np.concatenate([np.repeat(X.unpack_ints(v), X.unpack_ints(w)) for v, w in zip(a, b)])
+        own, ver = (np.concatenate([np.repeat(X.unpack_ints(v), X.unpack_ints(w)) for v, w in zip(y, b)]) for y in (a, alt))
         pos = np.concatenate([X.unpack_ints(v) for v in c]) & 0xFFFFFFFF
         order = np.argsort(h, kind="stable")
         edge = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1], [True]]))
         n = np.diff(edge)
         many = order[np.repeat(n > 1, n)]
-        rows += X.places(own[many], pos[many], id_bits)
+        rows += X.places(own[many], ver[many], pos[many], id_bits)
         if (n >= hot).any():
             rows.append((bits, 2, None, None, None, h[order[edge[:-1]]][n >= hot].astype("<u8").tobytes()))
         return X.table(rows)
@@ -108,33 +110,33 @@ def repeated(id_bits: int, hot: int):
     return run
 
 
-def spans(ids: np.ndarray, start: np.ndarray, n: np.ndarray, id_bits: int) -> list[tuple]:
-    """Runs of n removed windows each as packed rows by the bucket of doc_id; touching runs of a document merge."""
+def spans(ids: np.ndarray, ver: np.ndarray, start: np.ndarray, n: np.ndarray, id_bits: int) -> list[tuple]:
+    """Runs of n removed windows each as packed rows by the bucket of the document; touching runs of a document merge."""
     if not len(ids):
         return []
-    order = np.lexsort((start, ids))
-    ids, start, end = ids[order], start[order], (start + n)[order]
+    order = np.lexsort((start, ver, ids))
+    ids, ver, start, end = ids[order], ver[order], start[order], (start + n)[order]
     new = np.ones(len(ids), bool)
-    new[1:] = (ids[1:] != ids[:-1]) | (start[1:] > end[:-1])
+    new[1:] = (ids[1:] != ids[:-1]) | (ver[1:] != ver[:-1]) | (start[1:] > end[:-1])
     k = np.flatnonzero(new)
-    ids, start, n = ids[k], start[k], np.maximum.reduceat(end, k) - start[k]
-    return [(b, 1, X.pack_ints(ids[at]), X.pack_ints(start[at]), X.pack_ints(n[at]), None) for b, at in X.by_bucket(X.id_bucket(ids, id_bits))]
+    ids, ver, start, n = ids[k], ver[k], start[k], np.maximum.reduceat(end, k) - start[k]
+    return [(b, 1, X.pack_ints(ids[at]), X.pack_ints(start[at]), X.pack_ints(n[at]), None, X.pack_ints(ver[at])) for b, at in X.by_bucket(X.id_bucket(ids, id_bits, ver))]
 
 
-def collapse(ids, start, n, h, id_bits):
+def collapse(ids, ver, start, n, h, id_bits):
     """Indices of the earliest of equal segments, and the removals that all others are. Equal segments have equal n."""
-    keep, later = earliest(h, ids, start)
-    return np.sort(keep), spans(ids[later], start[later], n[later], id_bits)
+    keep, later = earliest(h, ids, ver, start)
+    return np.sort(keep), spans(ids[later], ver[later], start[later], n[later], id_bits)
 
 
 def cut_segments(width: int, bits: int, id_bits: int, hot: np.ndarray):
-    def cut_piece(own, buf, off, some, pos, lo, hi) -> list[tuple]:
+    def cut_piece(own, ver, buf, off, some, pos, at_marks) -> list[tuple]:
         sub = np.concatenate([buf[off[k] : off[k + 1]] for k in some.tolist()])
         base = np.concatenate([[0], np.cumsum((off[1:] - off[:-1])[some])])
         row, start, n, at, h = segments(sub, base, width)
         want = np.zeros(len(sub), bool)
         for r, k in enumerate(some.tolist()):
-            p = pos[lo[k] : hi[k]] + base[r]
+            p = pos[slice(*at_marks[k])] + base[r]
             want[p[p < base[r + 1]]] = True
         ok = want[at]
         row, start, n, h = row[ok], start[ok], n[ok], h[ok]
@@ -146,30 +148,30 @@ def cut_segments(width: int, bits: int, id_bits: int, hot: np.ndarray):
             h = np.concatenate([h[~single], K.spans_hash(sub, s, s + width)])
         if not len(row):
             return []
-        doc, rel = own[some][row], start - base[row]
+        doc, alt, rel = own[some][row], ver[some][row], start - base[row]
         name = K.spans_hash(sub, start, start + n + width - 1) ^ K.mix(h)
-        keep, gone = collapse(doc, rel, n, name, id_bits)
-        rows = [(r[0] & (1 << bits) - 1, *r[1:5], X.pack_ints(np.array([r[0]]))) for r in gone]
+        keep, gone = collapse(doc, alt, rel, n, name, id_bits)
+        rows = [(r[0] & (1 << bits) - 1, *r[1:5], X.pack_ints(np.array([r[0]])), r[6]) for r in gone]
         for b, k in X.by_bucket(X.top_bits(h[keep], bits)):
             k = keep[k]
             size = n[k] + width - 1
             body = sub[np.repeat(start[k], size) + K.ranges(size)]
-            rows.append((b, 0, X.pack_ints(doc[k]), X.pack_ints(rel[k]), X.pack_ints(n[k]), X.squeeze(body)))
+            rows.append((b, 0, X.pack_ints(doc[k]), X.pack_ints(rel[k]), X.pack_ints(n[k]), X.squeeze(body), X.pack_ints(alt[k])))
         return rows
 
     def run(texts: pa.Table, marks: pa.Table) -> pa.Table:
-        ids, pos = X.unpack_places(marks)
-        rows = []
-        if not len(ids):
+        marked, rows = X.Marks(marks, "b"), []
+        pos = marked.values[0]
+        if not len(pos):
             return X.table(rows)
-        for own, none, buf, off in X.unpack_texts(texts):
-            lo, hi = np.searchsorted(ids, own), np.searchsorted(ids, own, "right")
-            some = np.flatnonzero((hi > lo) & ~none)
+        for own, ver, none, buf, off in X.unpack_texts(texts):
+            at_marks = marked.of(own, ver, none)
+            some = np.flatnonzero([hi > lo for lo, hi in at_marks])
             if not len(some):
                 continue
             size = np.concatenate([[0], np.cumsum((off[1:] - off[:-1])[some])])
             for p, q in K.pieces(size, X.PIECE):
-                rows += cut_piece(own, buf, off, some[p:q], pos, lo, hi)
+                rows += cut_piece(own, ver, buf, off, some[p:q], pos, at_marks)
         return X.table(rows)
 
     return run
@@ -256,19 +258,19 @@ def adjacent_prefixes(text: np.ndarray, order: np.ndarray, width: int, block: in
 def resolve(width: int, id_bits: int):
     def run(packs: pa.Table) -> pa.Table:
         rows, parts = [], []
-        for kind, a, b, c, h in zip(*(packs.column(n).to_pylist() for n in ("kind", "a", "b", "c", "h"))):
+        for kind, a, b, c, h, v in zip(*(packs.column(n).to_pylist() for n in ("kind", "a", "b", "c", "h", "v"))):
             if kind:
-                rows.append((int(X.unpack_ints(h)[0]), 1, a, b, c, None))
+                rows.append((int(X.unpack_ints(h)[0]), 1, a, b, c, None, v))
             else:
-                parts.append((X.unpack_ints(a), X.unpack_ints(b), X.unpack_ints(c), np.frombuffer(X.expand(h), np.uint8)))
+                parts.append((X.unpack_ints(a), X.unpack_ints(v), X.unpack_ints(b), X.unpack_ints(c), np.frombuffer(X.expand(h), np.uint8)))
         if not parts:
             return X.table(rows)
-        ids, start, n, body = (np.concatenate(x) for x in zip(*parts))
+        ids, ver, start, n, body = (np.concatenate(x) for x in zip(*parts))
         size = n + width - 1
         first = np.cumsum(size) - size
-        keep, gone = collapse(ids, start, n, K.spans_hash(body, first, first + size), id_bits)
+        keep, gone = collapse(ids, ver, start, n, K.spans_hash(body, first, first + size), id_bits)
         rows += gone
-        ids, start, n, size, first = ids[keep], start[keep], n[keep], size[keep], first[keep]
+        ids, ver, start, n, size, first = ids[keep], ver[keep], start[keep], n[keep], size[keep], first[keep]
         text = np.zeros(int(size.sum()) + len(size), np.uint16)
         to = np.cumsum(size + 1) - size - 1
         text[np.repeat(to, size) + K.ranges(size)] = body[np.repeat(first, size) + K.ranges(size)].astype(np.uint16) + 1
@@ -276,13 +278,13 @@ def resolve(width: int, id_bits: int):
         same = adjacent_prefixes(text, order, width) >= width
         group = np.cumsum(~same).astype(np.uint64)
         seg = np.searchsorted(to, order, "right") - 1
-        own, pos = ids[seg], start[seg] + order - to[seg]
+        own, alt, pos = ids[seg], ver[seg], start[seg] + order - to[seg]
         many = np.zeros(len(order), bool)
         many[same] = True
         many[:-1] |= same[1:]
-        _, later = earliest(group[many], own[many], pos[many])
-        own, pos = own[many][later], pos[many][later]
-        rows += spans(own, pos, np.ones(len(own), np.int64), id_bits)
+        _, later = earliest(group[many], own[many], alt[many], pos[many])
+        own, alt, pos = own[many][later], alt[many][later], pos[many][later]
+        rows += spans(own, alt, pos, np.ones(len(own), np.int64), id_bits)
         return X.table(rows)
 
     return run
@@ -290,24 +292,18 @@ def resolve(width: int, id_bits: int):
 
 def strip(width: int):
     def run(texts: pa.Table, marks: pa.Table) -> pa.Table:
-        if marks.num_rows:
-            ids, pos, n = (np.concatenate([X.unpack_ints(v) for v in marks.column(x).to_pylist()]) for x in "abc")
-            order = np.argsort(ids, kind="stable")
-            ids, pos, n = ids[order], pos[order], n[order]
-        else:
-            ids = pos = n = np.zeros(0, np.int64)
+        marked = X.Marks(marks, "b", "c")
+        pos, n = marked.values
         out = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept")}
-        for own, none, buf, off in X.unpack_texts(texts):
-            lo, hi = np.searchsorted(ids, own), np.searchsorted(ids, own, "right")
-            for i, doc in enumerate(own.tolist()):
+        for own, ver, none, buf, off in X.unpack_texts(texts):
+            for i, (doc, (lo, hi)) in enumerate(zip(own.tolist(), marked.of(own, ver, none))):
                 raw = buf[off[i] : off[i + 1]]
                 gone = np.zeros(len(raw), bool)
-                if hi[i] > lo[i] and not none[i]:
+                if hi > lo:
                     step = np.zeros(len(raw) + 1, np.int64)
-                    s = pos[lo[i] : hi[i]]
-                    ok = s < len(raw)
-                    np.add.at(step, s[ok], 1)
-                    np.add.at(step, np.minimum(s[ok] + n[lo[i] : hi[i]][ok] + width - 1, len(raw)), -1)
+                    s, m = pos[lo:hi], n[lo:hi]
+                    np.add.at(step, s, 1)
+                    np.add.at(step, s + m + width - 1, -1)
                     gone = np.cumsum(step[:-1]) > 0
                 out["doc_id"].append(None if none[i] else doc)
                 out["n_bytes"].append(len(raw))
@@ -321,9 +317,9 @@ def strip(width: int):
 
 def dedup_bytes(docs: DataFrame, width: int = 100, hot: int = 100_000) -> DataFrame:
     """For each row of docs(doc_id, text), as UTF-8: bytes, removed bytes, their maximal spans and the bytes that are kept."""
-    docs = X.narrow(docs, "doc_id", "text")
-    bits = X.bucket_bits(docs)
-    hot = max(hot, X.size_in_bytes(docs) * 4 // (width - GRAM) // 65_536)
+    docs, size = X.versioned(docs)
+    bits = X.bits_for(size)
+    hot = max(hot, size * 4 // (width - GRAM) // 65_536)
     found = X.cut(docs.mapInArrow(hash_anchors(width, bits), X.PACKED).groupBy("bucket").applyInArrow(repeated(bits, hot), X.PACKED))
     hottest = [np.frombuffer(r["h"], "<u8") for r in found.filter("kind = 2").select("h").collect()]
     hottest = np.concatenate(hottest) if hottest else np.zeros(0, np.uint64)

@@ -242,14 +242,14 @@ def test_decontam(spark, docs, rows, none, most):
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(low))
     some = words(rows[0][1])
-    items = [(1, " ".join(some[5:40])), (2, "A"), (3, None), (4, " ".join(some[60:66])), (2, "a"), (5, "Zq zq!"), (None, "x")]
+    items = [(1, " ".join(some[5:40])), (2, "A"), (3, None), (4, " ".join(some[60:66])), (2, "a"), (5, "Zq zq!"), (None, "x"), (None, " ".join(some[20:34]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     windows = collections.defaultdict(set)
     for i, t in items:
         w = words(t)
         n = min(13, len(w))
-        for s in range(len(w) - n + 1 if w and i is not None else 0):
-            windows[tuple(w[s : s + n])].add(str(i))
+        for s in range(len(w) - n + 1 if w else 0):
+            windows[tuple(w[s : s + n])].add(i)
     want = {}
     for i, t, *_ in rows:
         w, hit, found = words(t), set(), set()
@@ -258,11 +258,11 @@ def test_decontam(spark, docs, rows, none, most):
                 if s + n <= len(w) and tuple(w[s : s + n]) in windows:
                     hit |= set(range(s, s + n))
                     found |= windows[tuple(w[s : s + n])]
-        want[i] = (len(w), len(hit), sorted(found), bool(hit) and 20 * len(hit) >= len(w))
+        want[i] = (len(w), len(hit), len(found), sorted(str(x) for x in found if x is not None), bool(hit) and 20 * len(hit) >= len(w))
     judged = decontam.decontaminate(docs, bench, most=most)
-    assert {r.doc_id: (r.n_words, r.n_hit, r.items, r.contaminated) for r in judged.collect()} == want
-    assert any(v[3] for v in want.values())
-    assert decontam.remove_documents(docs, judged).count() == sum(not v[3] for v in want.values())
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items, r.contaminated) for r in judged.collect()} == want
+    assert any(v[4] for v in want.values())
+    assert decontam.remove_documents(docs, judged).count() == sum(not v[4] for v in want.values())
     cleaned = {r.doc_id: r.text for r in decontam.remove_spans(docs, judged).collect()}
     assert all(len(words(cleaned[i])) == v[0] - v[1] for i, v in want.items())
     assert decontam.decontaminate(none, bench).count() == 0
@@ -373,11 +373,11 @@ def test_pipeline_drops_rows_not_ids(spark, tmp_path, monkeypatch):
     base, near = text(), text()
     clean = [(None, text()), (None, text()), (7, text()), (8, text()), (9, text()), (1, base), (2, near)]
     gone = {"stage_toxicity": [(None, ["grumpf"]), (7, ["grumpf", "x"])], "stage_exact": [(None, base), (8, base)], "stage_neardup": [(9, [*near[:-1], "x"])]}
-    far = toxicity.Model(toxicity.window(b"grumpf"), b" " * 8, True, (0.0, 1.0), (0.0, 1.0))
+    far = toxicity.Model(toxicity.window(b"grumpf"), True, b" " * 8, True, (0.0, 1.0), (0.0, 1.0))
     d = toxicity.Measure(far)
     most = max(d(w.encode()) for _, x in clean for w in x)
     assert d(b"grumpf") > max(most, 0)
-    model = toxicity.Model(far.toxic, far.ordinary, True, (float(max(most, 0)), float(d(b"grumpf"))), (0.0, 1.0))
+    model = toxicity.Model(far.toxic, True, far.ordinary, True, (float(max(most, 0)), float(d(b"grumpf"))), (0.0, 1.0))
     monkeypatch.setattr(P.toxicity, "train", lambda *_: model)
     spark.createDataFrame([(1, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     key = lambda rows: sorted((str(i), " ".join(w)) for i, w in rows)
