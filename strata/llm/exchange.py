@@ -76,7 +76,14 @@ def cut(df: DataFrame) -> DataFrame:
 def fit(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """cut(df), in as many partitions as its rows fill. Small tables that are shuffled many times then write few files."""
     df = cut(df)
-    return df.coalesce(max(1, math.ceil(df.count() / rows)))
+    return counted(df, df.count(), rows)
+
+
+def counted(df: DataFrame, n: int, rows: int = 200_000) -> DataFrame:
+    """df, which was cut and has n rows, in as many partitions as they fill; small_side() need not count them again."""
+    out = df.coalesce(max(1, math.ceil(n / rows)))
+    out.__dict__["_counted"] = n
+    return out
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +97,9 @@ def narrow(df: DataFrame, *columns: str) -> DataFrame:
 
 def small_side(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """df with a hint to broadcast it if it was counted (it should be cut before) to have at most `rows` rows; else it is left to a shuffle join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
+    n = df.__dict__.get("_counted")
+    n = df.limit(rows + 1).count() if n is None else n
+    return F.broadcast(df) if n <= rows else df.hint("merge")
 
 
 def squeeze(raw: bytes | np.ndarray) -> bytes:

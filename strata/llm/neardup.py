@@ -330,8 +330,9 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         # small star: u and its lesser neighbours go to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").union(least.select("u", F.col("m").alias("v"))).distinct()
-        e = X.fit(small)
+        e = X.cut(small)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        e = X.counted(e, now[0])
         if now == last:
             return e.select(F.col("u").alias("doc_id"), F.col("v").alias("comp")).union(e.select(F.col("v").alias("doc_id"), F.col("v").alias("comp")).distinct())
         last = now
