@@ -11,6 +11,8 @@ log p(language | page) adds up, to a constant:
 Counts by host aggregate before they shuffle; the join back splits a host with most pages if its side is
 shuffled at all.
 
+Every language that a training row names is counted and scored; a language takes 64 KB in each task.
+
 Defined cases: a null or empty page has no text, and a null url no suffix and the host "": the prior decides. Trained on
 no text at all, no page has a language (null).
 """
@@ -27,8 +29,6 @@ from pyspark.sql import DataFrame, functions as F
 from . import exchange as X, kernels as K
 
 BINS = 1 << 13
-#: Languages at most; the most frequent in the training rows.
-LANGUAGES = 32
 HIDDEN = re.compile(r"(?is)<(script|style|noscript|nav|footer|template)\b.*?</\1\s*>|<!--.*?-->")
 TAG = re.compile(r"(?s)<[^>]*>")
 DECLARED = re.compile(r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})\b""")
@@ -51,18 +51,20 @@ def trigrams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def count_trigrams(languages: tuple[str, ...]):
     def run(batches):
-        total, seen = np.zeros((len(languages), BINS), np.int64), 0
+        total: dict[int, np.ndarray] = {}  # of the languages that the partition holds
         where = {x: i for i, x in enumerate(languages)}
         for rb in batches:
             lang = np.array([where[x] for x in rb.column(0).to_pylist()], np.int64)
             buf, off = K.buffers(rb.column(1))
             for i, j in K.pieces(off, X.PIECE):
                 b, row = trigrams(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                total += np.bincount(lang[i:j][row] * BINS + b, minlength=total.size).reshape(total.shape)
-                seen += j - i
-        if seen:
-            n = len(languages)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n), pa.int32()), pa.array([int(total.sum()) % 64] * n, pa.int32()), pa.array([x.tobytes() for x in total], pa.binary())], names=["lang", "part", "n"])
+                some, back = np.unique(lang[i:j], return_inverse=True)
+                n = np.bincount(back[row] * BINS + b, minlength=len(some) * BINS).reshape(-1, BINS)
+                for k, x in zip(some.tolist(), n):
+                    total[k] = total[k] + x if k in total else x
+        if total:
+            n, part = sorted(total), sum(int(x.sum()) for x in total.values()) % 64
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), pa.array([part] * len(n), pa.int32()), pa.array([total[k].tobytes() for k in n], pa.binary())], names=["lang", "part", "n"])
 
     return run
 
@@ -74,11 +76,12 @@ def add_counts(packs: pa.Table) -> pa.Table:
 
 def train(docs: DataFrame) -> tuple[tuple[str, ...], np.ndarray]:
     """(languages, log-likelihood of each bin by language) from docs(text, lang)."""
-    top = docs.filter("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    languages = tuple(sorted(r["lang"] for r in top))
+    X.small_batches(docs)
+    known = docs.filter("lang is not null")
+    languages = tuple(sorted(r["lang"] for r in known.select("lang").distinct().collect()))
     if not languages:
         return (), np.zeros((0, BINS))
-    counts = docs.filter(F.col("lang").isin(*languages)).select("lang", "text").mapInArrow(count_trigrams(languages), "lang int, part int, n binary")
+    counts = known.select("lang", "text").mapInArrow(count_trigrams(languages), "lang int, part int, n binary")
     for keys in (("lang", "part"), ("lang",)):
         counts = counts.groupBy(*keys).applyInArrow(add_counts, "lang int, part int, n binary")
     table = np.ones((len(languages), BINS)) * 0.5
@@ -135,7 +138,7 @@ def identify(pages: DataFrame, docs: DataFrame, text_power: float = 0.6, strengt
     def told(c: str, right: int, of: int):
         p = (right + 4) / (of + 5)  # at most what the counts allow
         hit, miss = math.log(p), math.log((1 - p) / max(1, n - 1))
-        return F.array(*[F.when(F.col(c) < 0, 0.0).when(F.col(c) == i, hit).otherwise(miss) for i in range(n)])
+        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(F.col(c) < 0, 0.0).when(F.col(c) == i, hit).otherwise(miss))
 
     plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     seen = seen.withColumn("own", plus(plus(F.col("text"), told("declared", agree["declared"], agree["n_declared"])), told("suffix", agree["suffix"], agree["n_suffix"])))
