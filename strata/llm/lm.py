@@ -4,13 +4,14 @@ Symbols are the `symbols` most frequent words, 16 classes of other words by thei
 The model predicts a symbol from the two before it: score(w | a, b) = (R[a] C1 + R[b] C2) . Q[w] + bias[w].
 As the score is a sum of a table of (a, w) and one of (b, w), the normaliser of all contexts is one product
 of matrices, exp(AQ + bias) exp(BQ)^T, and every token gets a normalised log-probability. A word of a class is
-then drawn from the class's own counts, discounted; what the discount leaves is for one unseen word.
+then drawn from the class's own counts, discounted; what the discount leaves is shared by as many unseen words
+as the class has known ones, and one more, so that an unseen word costs more than any known one of its class.
 
 Counts cover every training token. They are summed in packed form by token hash; the at most `head` most
 frequent words (a bound by parameter) are then shipped to all tasks, and only the rest of a document's words
 travel to the bucket that holds their counts. Each training partition runs one pass of noise-contrastive
-stochastic gradient over all its tokens, from the same start; the parameters are averaged by tokens, in two
-levels of groups, `rounds` times.
+stochastic gradient over all its tokens, from the same start; the parameters and AdaGrad's sums are averaged by
+tokens, in two levels of groups, and the next of `rounds` passes starts from there.
 
 Words are told apart by 64-bit hashes. Rows are told apart by their place in the input, so null and repeated
 doc_ids are rows like any other; a null doc_id trains. Null text is empty and has one token, the end. Without
@@ -134,11 +135,11 @@ class Vocabulary:
         return out[:-1] + 0.5
 
     def rare(self, c: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        """log10 of the share of a word with count c in its class, 0 for the one unseen word."""
+        """log10 of the share of a word with count c in its class, 0 for an unseen word."""
         mass, kinds = self.mass[cls].astype(float), self.kinds[cls].astype(float)
         with np.errstate(divide="ignore", invalid="ignore"):
-            share = np.where(c > 0, c - DISCOUNT, DISCOUNT * kinds) / mass
-        return np.log10(np.where(mass > 0, share, 1.0))
+            share = np.where(c > 0, c - DISCOUNT, DISCOUNT * kinds / (kinds + 1)) / mass
+        return np.log10(np.where(mass > 0, share, 1 / (kinds + 1)))
 
     def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index in head, whether it is there)."""
@@ -233,15 +234,16 @@ def scatter(to: np.ndarray, at: np.ndarray, add: np.ndarray) -> None:
 
 
 class Trainer:
-    """Noise-contrastive estimation with AdaGrad; the noise words of a minibatch are shared by its tokens."""
+    """Noise-contrastive estimation with AdaGrad; the noise words of a minibatch are shared by its tokens. sums: AdaGrad's, of earlier rounds."""
 
-    def __init__(self, model: Model, vocab: Vocabulary, noise: int = 32, rate: float = 0.08, seed: int = 0):
+    def __init__(self, model: Model, vocab: Vocabulary, noise: int = 128, rate: float = 0.05, seed: int = 0, sums: Model | None = None):
         self.m, self.noise, self.rate = model, noise, rate
         p = vocab.unigram()
         self.log_noise = np.log(noise * p / p.sum()).astype(np.float32)
         self.cdf = np.cumsum(p / p.sum())
         self.rng = np.random.RandomState(seed)
-        self.sums = [np.full(x.shape, 1.0, np.float32) for x in (model.r, model.c1, model.c2, model.q, model.bias)]
+        self.of = sums if sums is not None else Model(*(np.ones(x.shape, np.float32) for x in (model.r, model.c1, model.c2, model.q, model.bias)))
+        self.sums = [self.of.r, self.of.c1, self.of.c2, self.of.q, self.of.bias]
 
     def step(self, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> None:
         m = self.m
@@ -267,12 +269,12 @@ class Trainer:
 
 
 def train_part(vocab: Vocabulary, flat: np.ndarray, width: int, size: int, batch: int = 2048):
-    """One pass over a partition's tokens; emits its parameters in blocks, with its tokens as their weight."""
+    """One pass over a partition's tokens; emits its parameters and AdaGrad's sums in blocks, with its tokens as their weight."""
 
     def run(batches):
-        model, seen = Model.of(flat.copy(), size, width), 0
+        (model, sums), seen = (Model.of(x.copy(), size, width) for x in np.split(flat, 2)), 0
         part = TaskContext.get().partitionId()
-        trainer = Trainer(model, vocab, seed=part)
+        trainer = Trainer(model, vocab, seed=part, sums=sums)
         for rb in batches:
             buf, off = K.buffers(rb.column(0))
             for i, j in K.pieces(off, X.PIECE):
@@ -283,7 +285,7 @@ def train_part(vocab: Vocabulary, flat: np.ndarray, width: int, size: int, batch
                     trainer.step(a[k : k + batch], b[k : k + batch], w[k : k + batch])
                 seen += len(w)
         if seen:
-            yield sums_batch(part % 64, model.flat() * np.float64(seen), seen)
+            yield sums_batch(part % 64, np.concatenate([model.flat(), trainer.of.flat()]) * np.float64(seen), seen)
 
     return run
 
@@ -306,13 +308,14 @@ def add_up(packs: pa.Table) -> pa.Table:
 def train(docs: DataFrame, vocab: Vocabulary, width: int, rounds: int) -> Model:
     """docs(text): training rows only."""
     model = Model.start(vocab, width)
+    state = np.concatenate([model.flat(), np.ones(model.flat().shape, np.float32)])
     for _ in range(rounds if vocab.rows else 0):
-        sums = docs.mapInArrow(train_part(vocab, model.flat(), width, vocab.size), SUMS)
+        sums = docs.mapInArrow(train_part(vocab, state, width, vocab.size), SUMS)
         for keys in (("part", "block"), ("block",)):
             sums = sums.groupBy(*keys).applyInArrow(add_up, SUMS)
         got = sorted(sums.select("block", "weight", "vec").collect())  # one row for each block of parameters
-        model = Model.of(np.concatenate([np.frombuffer(r["vec"], np.float64) / r["weight"] for r in got]), vocab.size, width)
-    return model
+        state = np.concatenate([np.frombuffer(r["vec"], np.float64) / r["weight"] for r in got]).astype(np.float32)
+    return Model.of(np.split(state, 2)[0], vocab.size, width)
 
 
 def score_rows(vocab: Vocabulary, flat: np.ndarray, width: int, bits: int):
@@ -401,7 +404,7 @@ def gather(packs: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(ids[order], pa.int64(), mask=none[order].astype(bool)), "n_tokens": n[order], "n_known": sums[0].astype(np.int64), "base_score": sums[1], "score": sums[2]}, schema=SCORED_ARROW)
 
 
-def score(docs: DataFrame, training: Column, head: int = 65_536, symbols: int = 1000, width: int = 16, rounds: int = 1) -> DataFrame:
+def score(docs: DataFrame, training: Column, head: int = 65_536, symbols: int = 1000, width: int = 16, rounds: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs(doc_id, text). training: a boolean of doc_id."""
     X.small_batches(docs)
     learn = docs.filter(training).select("text")

@@ -385,3 +385,150 @@ def test_pipeline_drops_rows_not_ids(spark, tmp_path, monkeypatch):
         df = spark.createDataFrame([(i, " ".join(w)) for i, w in clean + bad], "doc_id long, text string")
         out = getattr(P, stage)(spark, df, str(tmp_path)).collect()
         assert key((r.doc_id, r.text.split(" ")) for r in out) == key(clean), stage
+
+
+def repeated_ids():
+    """Rows whose doc_id is null or repeats with other texts: a passage copied into one text of id 5, unique words in the other."""
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randint(0, 10**9)}"
+    a, b, c = ([word() for _ in range(60)] for _ in range(3))
+    return [(1, " ".join(a)), (5, " ".join(a[10:50])), (5, " ".join(b)), (5, " ".join(b)), (None, " ".join(a)), (None, " ".join(c)), (7, " ".join(c)), (7, " ".join(c[5:40])), (8, None)]
+
+
+def test_repeated_ids_lose_only_their_own_copies(spark):
+    rows = repeated_ids()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    words = {t: len((t or "").split()) for _, t in rows}
+    key = lambda r, n: (r.doc_id or 0, n)
+    got = collections.Counter((r.doc_id, r.n_words, r.n_removed) for r in substring.dedup_substrings(df).collect())
+    sevens = [got.pop((7, 60, 0), 0) and "long", got.pop((7, 35, 35), 0) and "short", got.pop((7, 60, 35), 0) and "cut", got.pop((7, 35, 0), 0) and "kept"]
+    assert sorted(filter(None, sevens)) in (["long", "short"], ["cut", "kept"])  # one of the two texts of id 7 comes first
+    assert got == {(1, 60, 0): 1, (5, 40, 40): 1, (5, 60, 0): 2, (None, 60, 0): 2, (8, 0, 0): 1}
+    out = suffix.dedup_bytes(df).collect()
+    assert len(out) == len(rows) and words
+    fives = sorted((r.n_bytes, r.n_removed) for r in out if r.doc_id == 5)
+    assert fives == sorted([(len(rows[1][1]), len(rows[1][1])), (len(rows[2][1]), 0), (len(rows[2][1]), 0)])
+    assert all(r.n_removed == 0 for r in out if r.doc_id in (None, 1, 8))
+    assert sorted(r.n_removed > 0 for r in out if r.doc_id == 7) == [False, True]
+
+
+def test_texts_beyond_a_block(spark):
+    rng = random.Random(3)
+    shared = " ".join(f"s{rng.randint(0, 10**6)}" for _ in range(40))
+    long = " ".join(f"w{rng.randint(0, 10**7)}" for _ in range(330_000))
+    rows = [(1, f"{long[:1_500_000]} {shared} {long[1_500_000:]}"), (2, f"x {shared} y")]
+    assert len(rows[0][1]) > 2 << 20
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in substring.dedup_substrings(df).collect()}
+    assert got == {1: 0, 2: 40}
+    assert {r.doc_id: (r.n_removed, r.n_spans) for r in suffix.dedup_bytes(df).collect()} == {1: (0, 0), 2: (len(shared) + 2, 1)}
+
+
+def test_keep_first_leaves_one_row_of_each_text(spark):
+    rows = [(1, "a b", "x"), (1, "a  b", "y"), (2, "a b", "z"), (3, "c", "p"), (3, "c", "q"), (3, "c", "q"), (None, "d", "r"), (None, "d", "r"), (4, "e", "s"), (5, None, "t"), (6, "", "u")]
+    out = exact.keep_first(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert out.columns == ["doc_id", "text", "source"]
+    got = sorted(((r.doc_id or 0), re.sub(r"\s+", " ", r.text or "")) for r in out.collect())
+    assert got == [(0, "d"), (1, "a b"), (3, "c"), (4, "e"), (5, "")]
+
+
+def test_lm_score_of_a_fixed_model(spark, docs, rows, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng = np.random.RandomState(5)
+    held = {}
+
+    def fixed(_, vocab, width, rounds):
+        held["v"] = vocab
+        held["m"] = lm.Model(*(rng.normal(0, 0.3, s).astype(np.float32) for s in ((vocab.size, width), (width, width), (width, width), (vocab.size - 1, width), (vocab.size - 1,))))
+        return held["m"]
+
+    monkeypatch.setattr(lm, "train", fixed)
+    got = {r.doc_id: r.score for r in lm.score(docs, F.lit(True), head=20, symbols=10, width=4).collect()}
+    v, m = held["v"], held["m"]
+    low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    text = {i: SPLIT.findall((t or "").translate(low)) for i, t, *_ in rows}
+    c = collections.Counter(w for x in text.values() for w in x)
+    name = {w: int(lm.tokens(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[0][0]) for w in c}
+    top = sorted(c, key=lambda w: (-c[w], name[w]))[:10]
+    kind = lambda w: min(len(w.encode()), 16) - 1
+    mass, kinds = collections.Counter(), collections.Counter()
+    for w in c:
+        if w not in top:
+            mass[kind(w)] += c[w]
+            kinds[kind(w)] += 1
+    for i, x in list(text.items())[::5]:
+        sym = [top.index(w) if w in top else 10 + kind(w) for w in x] + [v.end]
+        line, total = [v.size - 1, v.size - 1, *sym], 0.0
+        for k, s in enumerate(sym):
+            logits = (m.r[line[k + 1]] @ m.c1 + m.r[line[k]] @ m.c2) @ m.q.T + m.bias
+            total += float(logits[s] - np.log(np.exp(logits.astype(float)).sum())) / math.log(10)
+            if k < len(x) and x[k] not in top:
+                total += math.log10((c[x[k]] - lm.DISCOUNT) / mass[kind(x[k])])
+        assert got[i] == pytest.approx(total, rel=1e-4, abs=1e-3)
+    # known words of a class and as many unseen ones, and one more, share it
+    for k in kinds:
+        known = sum((c[w] - lm.DISCOUNT) / mass[k] for w in c if w not in top and kind(w) == k)
+        unseen = 10 ** float(v.rare(np.array([0]), np.array([k]))[0])
+        assert known + (kinds[k] + 1) * unseen == pytest.approx(1)
+
+
+def test_langid_against_a_plain_bayes(spark):
+    rng = random.Random(12)
+    names = [f"{a}{b}" for a in "abcdefgh" for b in "pqrst"]  # forty languages
+    parts = {x: ["".join(rng.choice("abcdefghijklmnoprstuvwxyzéñ") for _ in range(3)) for _ in range(12)] for x in names}
+    say = lambda x, n: " ".join("".join(rng.choice(parts[x]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    docs = [(i, say(names[i % 40], 60), names[i % 40]) for i in range(120)] + [(900, None, "ap"), (901, "zz", None)]
+    pages = []
+    for i in range(90):
+        x = rng.choice(names[:6] if i % 3 else names)
+        told = x if i % 4 else rng.choice(names)
+        pages.append((i, f"http://H{i % 5}.site{i % 2}.org/{told if i % 2 else 'index'}/p", f'<html lang="{told}"><p>{say(x, rng.choice((1, 4, 30)))}</p></html>' if i % 5 else f"<p>{say(x, 3)}</p>"))
+    pages += [(500, None, None), (501, "http://h0.site0.org/", "")]
+
+    def bins(text):
+        t = [b if 97 <= b <= 122 or b >= 128 else 32 for b in (text or "").lower().encode()]
+        h = [(a << 16) | (b << 8) | c for a, b, c in zip(t, t[1:], t[2:]) if (a, b, c) != (32, 32, 32)]
+        return (K.mix(np.array(h, np.uint64)) >> np.uint64(51)).astype(int).tolist() if h else []
+
+    order = sorted(names)
+    count = {x: collections.Counter() for x in order}
+    for _, t, x in docs:
+        if x:
+            count[x].update(bins(t))
+    log = {x: [math.log((count[x][b] + 0.5) / (sum(count[x].values()) + 0.5 * langid.BINS)) for b in range(langid.BINS)] for x in order}
+    seen = []
+    for i, url, html in pages:
+        b = bins(re.sub(r"<[^>]*>", " ", html or ""))
+        text = [sum(log[x][k] for k in b) / max(1, len(b)) * max(1, len(b)) ** 0.6 for x in order]
+        host = (re.search("://([^/?#]*)", url or "") or [0, ""])[1].lower()
+        d = re.search('lang="([a-z]+)"', html or "")
+        s = re.search("://[^/]*/([a-z]{2})/", url or "")
+        where = lambda m: order.index(m[1]) if m and m[1] in order else -1
+        seen.append((i, host, ".".join(host.split(".")[-2:]), where(d), where(s), text, max(range(40), key=text.__getitem__)))
+    n, own, soft = 40, {}, {}
+    rate = [(sum(r[k] == r[6] for r in seen) + 4) / (sum(r[k] >= 0 for r in seen) + 5) for k in (3, 4)]
+    for r in seen:
+        x = list(r[5])
+        for k, p in zip((3, 4), rate):
+            if r[k] >= 0:
+                x = [v + (math.log(p) if j == r[k] else math.log((1 - p) / (n - 1))) for j, v in enumerate(x)]
+        own[r[0]] = x
+        e = [math.exp(v - max(x)) for v in x]
+        soft[r[0]] = [v / sum(e) for v in e]
+    total = lambda keep: [sum(soft[r[0]][j] for r in seen if keep(r)) for j in range(n)]
+    every = total(lambda r: True)
+    base = [(v + 1) / (sum(every) + n) for v in every]
+    want = {}
+    for r in seen:
+        d, h = total(lambda o: o[2] == r[2]), total(lambda o: o[1] == r[1])
+        up = [(v + 8 * q) / (sum(d) + 8) for v, q in zip(d, base)]
+        prior = [(v + 8 * q) / (sum(h) + 8) for v, q in zip(h, up)]
+        a = [v + math.log(q) for v, q in zip(own[r[0]], prior)]
+        best = max(range(n), key=a.__getitem__)
+        want[r[0]] = (order[best], 1 / sum(math.exp(v - a[best]) for v in a))
+    got = langid.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    got = {r.page_id: (r.lang, r.probability) for r in got.collect()}
+    assert set(got) == set(want)
+    for i, (x, p) in want.items():
+        assert got[i][0] == x and got[i][1] == pytest.approx(p, abs=1e-4), i
