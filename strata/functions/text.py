@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
-#: The CJK blocks that count as one token for each character.
-CJK = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}\x{2B820}-\x{2CEAF}\x{F900}-\x{FAFF}"
-CJK_MORE = CJK + r"\x{2F800}-\x{2FA1F}"
+#: The CJK blocks that count as one token for each character, and one more that counts as terms.
+BLOCKS = ((0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0x2A700, 0x2B73F), (0x2B740, 0x2B81F), (0x2B820, 0x2CEAF), (0xF900, 0xFAFF))
+MORE = (0x2F800, 0x2FA1F)
+CJK = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in BLOCKS)
+CJK_MORE = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in (*BLOCKS, MORE))
+_PY = "".join(f"{chr(a)}-{chr(b)}" for a, b in (*BLOCKS, MORE))
+LITERAL_TERMS = re.compile(rf"[{_PY}]|[^\W_{_PY}]+")
 
 
 def terms(text: Column) -> Column:

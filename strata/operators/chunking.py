@@ -103,13 +103,13 @@ def sections(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def split_markdown(text: str, size: int) -> list[tuple[int, int, str]]:
-    """(start, end, heading path) of chunks: a section that fits is one chunk under its full path, else its children of the next level are split in turn
-    and the text around them is split as text."""
+    """(start, end, heading path) of chunks: a text or section that fits is one chunk under its full path, else its children of the next level are split
+    in turn and the text around them is split as text. The text's children are the sections of the least level that occurs."""
     every = sections(text)
 
     def walk(a: int, b: int, level: int, path: list[str], body: int) -> list[tuple[int, int, str]]:
         head = "\n".join(path)
-        if (b - a) / 2 <= size and path:
+        if (b - a) / 2 <= size:
             return [(body, b, head)] if text[body:b].strip() else []
         kids = [s for s in every if body <= s[0] < b and s[2] == level + 1]
         if not kids:
@@ -120,7 +120,7 @@ def split_markdown(text: str, size: int) -> list[tuple[int, int, str]]:
         out += [(i, j, head) for i, j in split_text(text, min(kids[-1][1], b), b, size)]
         return out
 
-    return walk(0, len(text), 0, [], 0) if every else [(i, j, "") for i, j in split_text(text, 0, len(text), size)]
+    return walk(0, len(text), min(s[2] for s in every) - 1, [], 0) if every else [(i, j, "") for i, j in split_text(text, 0, len(text), size)]
 
 
 def finish(text: str, parts: list[tuple[int, int, str]], overlap: int) -> list[dict]:

@@ -110,6 +110,29 @@ def render_message(role: Column, text: Column, args: Column | None = None, most:
     return F.concat(shown, F.when(args.isNull(), "").otherwise(F.concat(F.lit(" "), F.when(F.length(args) > most, F.concat(F.left(args, F.lit(most)), F.lit("..."))).otherwise(args))))
 
 
+def shorten(text: Column, most: int) -> Column:
+    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("..."))).otherwise(F.coalesce(text, F.lit("")))
+
+
+def render_parts(parts: Column, most: int = 100) -> Column:
+    """Content parts(type, text, data, format, name) as one text; an unknown type is empty. Labels are fixed values."""
+
+    def one(p: Column) -> Column:
+        data, some = shorten(p["data"], most), lambda c: F.coalesce(p[c], F.lit(""))
+        labelled = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
+        out = F.when(p["type"] == "text", some("text")).when(p["type"] == "image_url", labelled("[image: ", data, "]"))
+        return out.when(p["type"] == "input_audio", labelled("[audio: ", some("format"), " ", data, "]")).when(p["type"] == "file", labelled("[file: ", some("name"), " ", data, "]")).otherwise("")
+
+    return F.array_join(F.transform(parts, one), " ")
+
+
+def render_whole(role: Column, content: Column, call_id: Column, name: Column, calls: Column, most: int = 200) -> Column:
+    """A message with its call id, name, content and tool calls(name, arguments), each only where it has one. Arguments are cut at `most` characters."""
+    some = lambda x, *around: F.when(F.coalesce(F.length(x), F.lit(0)) > 0, F.concat(F.lit(around[0]), x, F.lit(around[1]))).otherwise("")
+    each = F.transform(calls, lambda c: F.concat(F.lit(" "), c["name"], F.lit("("), shorten(c["arguments"], most), F.lit(")")))
+    return F.concat(F.lit("["), role, F.lit("]"), some(call_id, "[call_id=", "]"), some(name, "[name=", "]"), some(content, " ", ""), some(F.array_join(each, ","), " [tool_calls:", "]"))
+
+
 def cap_history(messages: DataFrame, most: int = 1024, keep: int = 512, group: str = "conv_id", order: str = "turn") -> DataFrame:
     """A conversation of more than `most` messages keeps its last `keep`."""
     all_ = W.partitionBy(group)

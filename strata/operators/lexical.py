@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import terms
+from ..functions.text import LITERAL_TERMS, terms
 
 K1, B = 1.5, 0.75
 
 
 def query_terms(query: str) -> list[str]:
     """Terms of a literal query, in order, with repeats."""
-    return re.findall(r"[㐀-䶿一-鿿豈-﫿\U00020000-\U0002FA1F]|[^\W_㐀-䶿一-鿿豈-﫿\U00020000-\U0002FA1F]+", query.lower())
+    return LITERAL_TERMS.findall(query.lower())
 
 
 def postings(docs: DataFrame) -> DataFrame:

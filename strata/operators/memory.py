@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -79,6 +79,29 @@ def semantic_search(items: DataFrame, edges: DataFrame, vector: Sequence[float],
     return out.orderBy(F.desc("score"), "id").limit(limit)
 
 
+def tool_search(episodes: DataFrame, items: DataFrame, edges: DataFrame, vector: Sequence[float], session, now: str, limit: int, min_score: float = 0.1, min_importance: float = 0.1) -> DataFrame:
+    """tier, id, content, importance: a session's episodes and semantic items of some importance and score, the most important first."""
+    own = [("session_id", "=", session), ("importance", ">=", min_importance)]
+    found = {"episodic": episodic_search(episodes, vector, now, limit, min_score, own), "semantic": semantic_search(items, edges, vector, limit, min_score, own)}
+    return cross_tier(found, limit)
+
+
+def episodic_add(episodes: DataFrame, new: DataFrame, embed: Callable[[Column], Column], key: str = "id") -> DataFrame:
+    """episodes(id, session_id, content, summary, importance, event_type, created_at, embedding) with new ones, whose vector is that of the summary
+    and whose importance is 0.5 where none is given. Of episodes with the same id the new one stays."""
+    weight = F.when(F.coalesce("importance", F.lit(0.0)) == 0, 0.5).otherwise(F.col("importance")).cast("double")
+    new = new.withColumn("importance", weight).withColumn("embedding", embed(F.col("summary")))
+    return episodes.join(new.select(key), key, "left_anti").unionByName(new.select(*episodes.columns))
+
+
+def move_relations(relations: DataFrame, added: DataFrame) -> DataFrame:
+    """relations(source_id, target_id, relation_type) of the kept items, by added(id, kept_id): those of an item that went to another move there."""
+    to = lambda c: added.select(F.col("id").alias(c), F.col("kept_id").alias("_" + c))
+    out = relations.join(to("source_id"), "source_id", "left").join(to("target_id"), "target_id", "left")
+    out = out.select(*[F.coalesce("_" + c, c).alias(c) for c in ("source_id", "target_id")], "relation_type")
+    return out.filter("source_id <> target_id").distinct()
+
+
 def with_relations(hits: DataFrame, relations: DataFrame, key: str = "id") -> DataFrame:
     r = relations.groupBy(F.col("source_id").alias(key)).agg(F.array_sort(F.collect_list(F.struct("target_id", "relation_type"))).alias("relations"))
     return hits.join(r, key, "left")

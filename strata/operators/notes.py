@@ -36,9 +36,13 @@ def search(notes: DataFrame, query: str, kind: str | None = None, tags: Sequence
     return list_notes(notes.filter(F.contains(F.lower("title"), low) | F.contains(F.lower("content"), low)), kind, tags, limit)
 
 
-def summary(notes: DataFrame) -> DataFrame:
-    """type, count, and the total in each row."""
-    return notes.groupBy("type").agg(F.count(F.lit(1)).alias("count")).withColumn("total", F.sum("count").over(W.partitionBy()))
+def summary(notes: DataFrame, recent: int = 5) -> DataFrame:
+    """type, count, and in each row the total and the notes changed last (id, title, type, tags, created_at, updated_at), the latest first."""
+    last = W.orderBy(F.desc("updated_at"), "id")
+    top = list_notes(notes, limit=recent).withColumn("_at", F.row_number().over(last))  # `recent` rows
+    top = top.agg(F.array_sort(F.collect_list(F.struct("_at", "id", "title", "type", "tags", "created_at", "updated_at"))).alias("recent"))
+    top = top.select(F.transform("recent", lambda x: x.dropFields("_at")).alias("recent"))
+    return notes.groupBy("type").agg(F.count(F.lit(1)).alias("count")).withColumn("total", F.sum("count").over(W.partitionBy())).join(F.broadcast(top))
 
 
 def body(markdown):

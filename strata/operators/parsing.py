@@ -19,44 +19,44 @@ PLAIN = ("txt", "md", "markdown", "log", "ini", "cfg", "conf", "env")
 UNSUPPORTED, TOO_LARGE, EMPTY, FAILED = "unsupported_format", "too_large", "empty", "parse_failed"
 
 
-def pipe_table(rows: list[list[str]]) -> str:
-    """Rows padded to the widest; the first is the header."""
+def pipe_table(rows: list[list[str]], rule: str = " --- |") -> str:
+    """Rows padded to the widest; the first is the header, with a rule under each column."""
     if not rows:
         return ""
     width = max(map(len, rows))
     line = lambda r: "| " + " | ".join(c.replace("\n", "<br>") for c in [*r, *[""] * (width - len(r))]) + " |"
-    return "\n".join([line(rows[0]), "|" + " --- |" * width, *map(line, rows[1:])])
+    return "\n".join([line(rows[0]), "|" + rule * width, *map(line, rows[1:])])
 
 
 def parse_csv(text: str) -> str:
-    return pipe_table([r for r in csv.reader(io.StringIO(text)) if r])
+    return pipe_table([r for r in csv.reader(io.StringIO(text)) if r], "---|")
 
 
 def scalar(v) -> str:
-    return "null" if v is None else str(v).lower() if isinstance(v, bool) else str(v)
-
-
-def outline(value, depth: int = 0) -> list[str]:
-    """Sorted keys, scalars before what is nested; headings by depth, arrays numbered."""
+    if isinstance(v, float) and v.is_integer() and abs(v) < 1e21:
+        v = int(v)
+    return "<nil>" if v is None else str(v).lower() if isinstance(v, bool) else str(v)
+
+
+def outline(value, depth: int = 0, key: str = "") -> list[str]:
+    """Sorted keys, scalars before what is nested; a heading for each nested key, arrays numbered, their maps set apart by a blank line. The words
+    for what is empty or null are fixed values."""
+    if not isinstance(value, (dict, list)):
+        return [f"- **{key}**: {scalar(value)}" if key else scalar(value)]
+    if not value:
+        return [f"- **{key}**: (empty)"] if key else []
+    out = ["", f"{'#' * min(depth + 1, 6)} {key}", ""] if key else []
     if isinstance(value, dict):
-        if not value:
-            return ["(empty)"]
-        nested = {k for k, v in value.items() if isinstance(v, (dict, list))}
-        out = [f"- **{k}**: {scalar(value[k])}" for k in sorted(value.keys() - nested)]
-        for k in sorted(nested):
-            out += ["", "#" * min(depth + 1, 6) + f" {k}", "", *outline(value[k], depth + 1)]
+        for k in sorted(value, key=lambda k: (isinstance(value[k], (dict, list)), k)):
+            out += outline(value[k], depth + 1, k)
         return out
-    if isinstance(value, list):
-        if not value:
-            return ["(empty)"]
-        out = []
-        for i, v in enumerate(value, 1):
-            if isinstance(v, (dict, list)):
-                out += ["", "#" * min(depth + 1, 6) + f" {i}", "", *outline(v, depth + 1)]
-            else:
-                out.append(f"{i}. {scalar(v)}")
-        return out
-    return [scalar(value)]
+    for i, v in enumerate(value, 1):
+        if isinstance(v, dict):
+            out += ["", *outline(v, depth)]
+        else:
+            first, *rest = outline(v, depth) or [""]
+            out += [f"{i}. {first}", *rest]
+    return out
 
 
 def parse_json(text: str) -> str:

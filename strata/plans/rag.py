@@ -10,9 +10,9 @@ from ..operators.vectors import recall
 from ..sources.store import cascade, delete
 
 
-def search(points: DataFrame, chunks: DataFrame, documents: DataFrame, queries: dict[int, Sequence[float]], limit: int = 5, column: str = "embedding") -> DataFrame:
+def search(points: DataFrame, chunks: DataFrame, documents: DataFrame, queries: dict[int, Sequence[float]], limit: int = 5, column: str = "embedding", min_score: float = 0.3) -> DataFrame:
     """chunk_id, doc_id, doc_name, content, score, rank of the fused hits; hits without a chunk are left out, a missing document leaves its name empty."""
-    hits = recall(points.withColumnRenamed("id", "chunk_id") if "id" in points.columns else points, queries, limit, column=column, key="chunk_id")
+    hits = recall(points.withColumnRenamed("id", "chunk_id") if "id" in points.columns else points, queries, limit, min_score, column, "chunk_id")
     out = hits.join(chunks.select(F.col("id").alias("chunk_id"), "doc_id", "chunk_index", "content"), "chunk_id").join(documents.select(F.col("id").alias("doc_id"), F.col("name").alias("doc_name")), "doc_id", "left")
     return out.select("chunk_id", "doc_id", F.coalesce("doc_name", F.lit("")).alias("doc_name"), "content", "score", "chunk_index", "rrf").orderBy(F.desc(F.round("rrf", 12)), "chunk_id")
 

@@ -224,6 +224,29 @@ def cross_tier_search(spark, d):
     return memory.cross_tier({"working": a, "semantic": b}).select("tier", "id", "importance")
 
 
+@query("WITH " + POINTS + ", " + BOTH + f", f AS (SELECT *, {COS.format(3)} AS c FROM p WHERE importance >= 0.1 AND id % 3 = 1 AND {COS.format(3)} >= 0.3 ORDER BY c DESC, id LIMIT 30), x AS (SELECT id, importance, (0.8 * c + 0.2 * {RECENCY}) * (0.8 + 0.4 * importance) AS score FROM f WHERE (0.8 * c + 0.2 * {RECENCY}) * (0.8 + 0.4 * importance) >= 0.1 ORDER BY score DESC, id LIMIT 10), g AS (SELECT DISTINCT id FROM u WHERE id IN (SELECT id FROM f) AND neighbour IN (SELECT id FROM f)), y AS (SELECT f.id, importance, (0.7 * c + 0.3 * CASE WHEN g.id IS NULL THEN 0 ELSE 1 END) * (0.8 + 0.4 * importance) AS score FROM f LEFT JOIN g ON g.id = f.id ORDER BY score DESC, f.id LIMIT 10) SELECT tier, id::VARCHAR AS id, importance FROM (SELECT 'episodic' AS tier, id, importance FROM x UNION ALL SELECT 'semantic', id, importance FROM y) ORDER BY importance DESC, tier, id::VARCHAR LIMIT 10")
+def memory_tool_search(spark, d):
+    p = points_of(spark, d).withColumn("session_id", F.col("id") % 3).withColumn("content", F.lit(""))
+    v = vector_of(read(spark, d, "embeddings"), 3)
+    return memory.tool_search(p, p, edges_of(spark, d), v, 1, NOW, 10).select("tier", "id", "importance")
+
+
+@query("WITH " + ITEMS + " SELECT id, CASE WHEN importance = 0 THEN 0.5 ELSE importance END AS importance, 16::BIGINT AS dimensions, count(*) OVER ()::BIGINT AS episodes FROM i")
+def episodic_add(spark, d):
+    new = items_of(spark, d).withColumn("summary", F.col("content")).select("id", "session_id", "content", "summary", "importance", "event_type", "created_at")
+    held = new.filter("id % 3 = 0").withColumn("embedding", F.array().cast("array<double>"))
+    out = memory.episodic_add(held, new, lambda c: connectors.hashed_embedding(c, 16).cast("array<double>"))
+    n = out.agg(F.count(F.lit(1)).alias("episodes"))
+    return out.select("id", "importance", F.size("embedding").cast("long").alias("dimensions")).join(F.broadcast(n))
+
+
+@query("WITH " + EDGES + " SELECT DISTINCT source_id // 10 * 10 AS source_id, target_id // 10 * 10 AS target_id, relation_type FROM e WHERE source_id // 10 <> target_id // 10")
+def semantic_move_relations(spark, d):
+    e = edges_of(spark, d)
+    nodes = e.select(F.col("source_id").alias("id")).union(e.select("target_id")).distinct()
+    return memory.move_relations(e, nodes.withColumn("kept_id", F.floor(F.col("id") / 10) * 10))
+
+
 @query("WITH n AS (SELECT max(vec_id) + 1 AS n FROM embeddings), c AS (SELECT vec_id AS id, vec_id AS kept_id FROM embeddings UNION ALL SELECT vec_id + n, vec_id FROM embeddings, n) SELECT id, kept_id, max(id % 11) OVER (PARTITION BY kept_id) / 10.0::DOUBLE AS importance FROM c")
 def semantic_near_duplicate(spark, d):
     # each vector and a noisy copy of it, in one collection
@@ -358,9 +381,9 @@ def rag_search(spark, d):
     p = read(spark, d, "embeddings")
     chunks = chunks_of(spark, d)
     names = chunks.select("doc_id").distinct().filter("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.concat(F.lit("doc"), "doc_id").alias("name"))
-    hits = vectors.fuse(vectors.multi_search(p, {q: vector_of(p, q) for q in range(4)}, 10, 0.2), 5)
-    out = hits.withColumnRenamed("vec_id", "chunk_id").join(chunks.withColumnRenamed("id", "chunk_id"), "chunk_id").join(names.select(F.col("id").alias("doc_id"), "name"), "doc_id", "left")
-    return out.select("chunk_id", "doc_id", F.coalesce("name", F.lit("")).alias("doc_name"), "content", F.round("score", 5).alias("score"))
+    points = p.select(F.col("vec_id").alias("id"), "embedding")
+    out = rag.search(points, chunks, names, {q: vector_of(p, q) for q in range(4)}, 5, min_score=0.2)
+    return out.select("chunk_id", "doc_id", "doc_name", "content", F.round("score", 5).alias("score"))
 
 
 @query("SELECT doc_id AS id, n_chars AS size FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20")
@@ -424,6 +447,17 @@ def render_messages(spark, d):
     return m.select("conv_id", "turn", context.render_message(F.col("role"), F.col("text"), F.col("text")).alias("message"))
 
 
+@query("WITH m AS (SELECT *, CASE WHEN length(text) > 100 THEN left(text, 100) || '...' ELSE text END AS t, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS a FROM conversations) SELECT conv_id, turn, '[' || role || ']' || CASE WHEN turn % 3 = 0 THEN '[call_id=c' || turn || ']' ELSE '' END || CASE WHEN turn % 2 = 0 THEN '[name=' || role || ']' ELSE '' END || ' ' || text || ' [image: ' || t || '] [audio: wav ' || t || '] [file: f.txt ' || t || ']' || CASE WHEN turn % 2 = 1 THEN ' [tool_calls: find(' || a || '), stop()]' ELSE '' END AS message FROM m")
+def render_whole_messages(spark, d):
+    m, text = read(spark, d, "conversations"), F.col("text")
+    part = lambda kind, **has: F.struct(F.lit(kind).alias("type"), *[has.get(c, F.lit(None).cast("string")).alias(c) for c in ("text", "data", "format", "name")])
+    parts = F.array(part("text", text=text), part("image_url", data=text), part("input_audio", data=text, format=F.lit("wav")), part("file", data=text, name=F.lit("f.txt")))
+    call = lambda name, args: F.struct(F.lit(name).alias("name"), args.alias("arguments"))
+    calls = F.when(F.col("turn") % 2 == 1, F.array(call("find", text), call("stop", F.lit(""))))
+    call_id, name = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("c"), "turn")), F.when(F.col("turn") % 2 == 0, F.col("role"))
+    return m.select("conv_id", "turn", context.render_whole(F.col("role"), context.render_parts(parts), call_id, name, calls).alias("message"))
+
+
 @query("SELECT conv_id, turn FROM conversations QUALIFY count(*) OVER (PARTITION BY conv_id) <= 5 OR row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 2")
 def history_cap(spark, d):
     return context.cap_history(read(spark, d, "conversations"), 5, 2).select("conv_id", "turn")
@@ -477,9 +511,10 @@ def note_list(spark, d):
     return notes.list_notes(notes_of(spark, d), "action").select("id", "title")
 
 
-@query("WITH " + NOTES + " SELECT type, count(*)::BIGINT AS count, (SELECT count(*) FROM n)::BIGINT AS total FROM n GROUP BY type")
+@query("WITH " + NOTES + " SELECT type, count(*)::BIGINT AS count, (SELECT count(*) FROM n)::BIGINT AS total, (SELECT string_agg(id, ',' ORDER BY updated_at DESC, id) FROM (SELECT id, updated_at FROM n ORDER BY updated_at DESC, id LIMIT 5)) AS recent FROM n GROUP BY type")
 def note_summary(spark, d):
-    return notes.summary(notes_of(spark, d))
+    out = notes.summary(notes_of(spark, d))
+    return out.withColumn("recent", F.array_join(F.transform("recent", lambda x: x["id"]), ","))
 
 
 @query("WITH " + NOTES + " SELECT id, CASE WHEN id::INT % 2 = 0 THEN 'renamed' ELSE title END AS title, content FROM n")
