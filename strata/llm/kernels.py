@@ -131,6 +131,11 @@ def window_hashes(values: np.ndarray, first: np.ndarray, width: int) -> tuple[np
     return start, spans_hash(values, start, start + width)
 
 
+def window_rows(first: np.ndarray, width: int) -> np.ndarray:
+    """The row of each window that window_hashes() gives."""
+    return np.repeat(np.arange(len(first) - 1), np.maximum(np.diff(first) - width + 1, 0))
+
+
 def byte_hashes(buf: np.ndarray, width: int) -> np.ndarray:
     """Hashes of all strings of `width` bytes, a power of two, by doubling."""
     h, k = _BYTE[buf], 1

@@ -44,8 +44,8 @@ def shingles(buf: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray,
     """(hashes, first): the distinct shingle hashes of each row, sorted within it, and each row's first."""
     start, end, first = K.words(buf, off)
     h = K.word_hashes(K.LOWER[buf], start, end)
-    at, s = K.window_hashes(h, first, width)
-    row = np.searchsorted(first, at, "right") - 1
+    _, s = K.window_hashes(h, first, width)
+    row = K.window_rows(first, width)
     n = np.diff(first)
     few = np.flatnonzero((n > 0) & (n < width))
     s = np.concatenate([s, K.spans_hash(h, first[few], first[few + 1])])

@@ -51,7 +51,7 @@ def hash_windows(width: int, bits: int, id_bits: int):
                 part = buf[off[i] : off[j]]
                 start, end, first = K.words(part, off[i : j + 1] - off[i])
                 at, h = K.window_hashes(K.word_hashes(part, start, end), first, width)
-                row = np.searchsorted(first, at, "right") - 1
+                row = K.window_rows(first, width)
                 ok = ~none[i:j][row]
                 at, h, row = at[ok], h[ok], row[ok]
                 if not len(at):

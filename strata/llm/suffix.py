@@ -31,7 +31,8 @@ from . import exchange as X, kernels as K
 from .substring import earliest
 
 GRAM = 32
-BLOCK = 1 << 20
+#: Window starts that are hashed at a time; their arrays stay in a core's cache.
+BLOCK = 1 << 16
 MASK = np.uint64((1 << 21) - 1)
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
@@ -52,8 +53,10 @@ def segments(buf: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray,
     parts = []
     for s, at, h in anchors(buf, width):
         start = np.arange(s, s + len(at))
-        row = np.searchsorted(off, start, "right") - 1
-        ok = start + width <= off[row + 1]
+        lo, hi = np.searchsorted(off, [s, s + len(at) - 1], "right") - 1
+        held = np.diff(np.clip(off[lo : hi + 2], s, s + len(at)))
+        row = np.repeat(np.arange(lo, hi + 1), held)
+        ok = start + width <= np.repeat(off[lo + 1 : hi + 2], held)
         start, at, h, row = start[ok], at[ok], h[ok], row[ok]
         if len(start):
             new = np.ones(len(start), bool)
