@@ -582,6 +582,8 @@ def working_stream_state(spark, d):
         out = buffer(stream.select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("created_at")), 5)
         name = "buffer_" + uuid.uuid4().hex
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         at = f"{shared}/{name}" if shared else tempfile.mkdtemp(prefix="strata-")
         q = out.writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", at).trigger(availableNow=True).start()
         q.awaitTermination()
