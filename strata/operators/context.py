@@ -43,6 +43,18 @@ def gather_notes(notes: DataFrame, query: str, most: int = 5) -> DataFrame:
     return both.orderBy("_o", *newest).limit(most).drop("_o", "_r").withColumn("relevance", note_relevance(F.col("type")))
 
 
+def memory_packets(items: DataFrame) -> DataFrame:
+    """Packets of memory items: relevance is the score among the metadata, or the importance where there is none that is a number."""
+    score = F.coalesce(F.col("metadata")["score"].try_cast("double"), F.col("importance"))
+    return items.withColumns({"timestamp": F.col("created_at"), "relevance": score, "memory_type": F.col("type")}).drop("created_at", "importance", "type")
+
+
+def rag_packets(hits: DataFrame) -> DataFrame:
+    """Packets of retrieved chunks: relevance is the score."""
+    at = F.col("created_at") if "created_at" in hits.columns else F.lit(None).cast("timestamp")
+    return hits.withColumns({"timestamp": at, "relevance": F.col("score")}).drop("created_at", "score")
+
+
 def gather(parts: dict[str, DataFrame]) -> DataFrame:
     """Packets of all sources in their order: parts(content, timestamp, relevance, memory_type, pos) by source."""
     out = None

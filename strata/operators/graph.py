@@ -55,3 +55,13 @@ def expand(hits: DataFrame, edges: DataFrame) -> DataFrame:
     """hits with relations: sorted (neighbour, relation_type), in both directions."""
     r = undirected(edges).distinct().groupBy("id").agg(F.array_sort(F.collect_list(F.struct("neighbour", "relation_type"))).alias("relations"))
     return hits.join(r, "id", "left")
+
+
+def node_count(nodes: DataFrame) -> DataFrame:
+    return nodes.agg(F.count(F.lit(1)).alias("count"))
+
+
+def neighbour_nodes(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """of, and the node: each distinct neighbour, in both directions, of the nodes in ids(id). An end that is no node is left out."""
+    near = neighbours(edges).join(ids.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("of"), F.col("neighbour").alias("id"))
+    return near.join(nodes, "id").select("of", *nodes.columns)

@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import scores as S
+from ..functions.text import loose_double, loose_timestamp
+from ..sources.store import delete
 from . import graph, lexical, vectors
 
 CAPACITY, TTL_MINUTES = 1024, 360
@@ -161,3 +163,82 @@ def cross_tier(tiers: dict[str, DataFrame], limit: int = 10) -> DataFrame:
         one = t.select(F.lit(name).alias("tier"), F.col("id").cast("string").alias("id"), "content", F.col("importance").cast("double").alias("importance"))
         out = one if out is None else out.unionByName(one)
     return out.orderBy(F.desc("importance"), "tier", "id").limit(limit)
+
+
+def semantic_delete(nodes: DataFrame, edges: DataFrame, points: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, points) without the items in ids(id), the edges at either end of them and their vectors."""
+    left, edges = graph.detach_delete(nodes, edges, ids)
+    return left, edges, delete(points, ids, "id")
+
+
+def with_entries(metadata: Column, entries: dict[str, Column]) -> Column:
+    """A map with further entries, which win; a null entry is left out."""
+    new = F.map_filter(F.create_map(*[x for k, v in entries.items() for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
+    old = F.coalesce(metadata, F.expr("cast(map() as map<string,string>)"))
+    return F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k)), new)
+
+
+def as_items(df: DataFrame, kind: str, entries: dict[str, Column]) -> DataFrame:
+    """Items of a tier, the tier's own columns as entries of metadata; relations as JSON, where there are any."""
+    if "relations" in df.columns:
+        entries = entries | {"relations": F.when(F.size("relations") > 0, F.to_json("relations"))}
+    meta = F.col("metadata") if "metadata" in df.columns else F.expr("cast(null as map<string,string>)")
+    at = F.col("created_at") if "created_at" in df.columns else F.lit(None).cast("timestamp")
+    return df.select("id", "session_id", F.lit(kind).alias("type"), "content", at.alias("created_at"), "importance", with_entries(meta, entries).alias("metadata"))
+
+
+def episodes_as_items(episodes: DataFrame) -> DataFrame:
+    return as_items(episodes, "episodic", {"summary": F.coalesce("summary", F.lit("")), "event_type": F.coalesce("event_type", F.lit(""))})
+
+
+def semantics_as_items(items: DataFrame) -> DataFrame:
+    return as_items(items, "semantic", {"summary": F.coalesce("summary", F.lit("")), "tags": F.when(F.size("tags") > 0, F.array_join("tags", ","))})
+
+
+def rows_as_episodes(rows: DataFrame) -> DataFrame:
+    """Stored rows of text as episodes: null text is empty, an importance that is no number 0, a time that is no time null."""
+    text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("id", "session_id", "content", "summary", "event_type")]
+    return rows.select(*text, loose_double(F.col("importance").cast("string")).alias("importance"), loose_timestamp(F.col("created_at").cast("string")).alias("created_at"))
+
+
+def nodes_as_semantics(nodes: DataFrame) -> DataFrame:
+    """Nodes(id, tags, properties) as semantic items: what a property lacks is empty, an importance that is no number 0."""
+    text = [F.coalesce(F.col("properties")[c], F.lit("")).alias(c) for c in ("content", "session_id", "summary")]
+    return nodes.select("id", *text, "tags", loose_double(F.col("properties")["importance"]).alias("importance"))
+
+
+class Sessions:
+    """Known sessions, and the one that is meant where none is named: the first, until another is chosen or it is removed."""
+
+    def __init__(self):
+        self._known: set[str] = set()
+        self.default = ""
+
+    def _must(self, session: str) -> str:
+        if session not in self._known:
+            raise KeyError(f"session {session!r} not found")
+        return session
+
+    def add(self, session: str) -> None:
+        if not session:
+            raise ValueError("a session needs an id")
+        if session in self._known:
+            raise ValueError(f"session {session!r} exists")
+        self._known.add(session)
+        self.default = self.default or session
+
+    def remove(self, session: str) -> None:
+        self._known.remove(self._must(session))
+        self.default = "" if self.default == session else self.default
+
+    def use(self, session: str) -> None:
+        self.default = self._must(session)
+
+    def resolve(self, session: str = "") -> str:
+        if not (session or self.default):
+            raise KeyError("no session is named and there is no default")
+        return self._must(session or self.default)
+
+    def of(self, items: DataFrame, session: str = "") -> DataFrame:
+        """The session's rows; a filter that reaches the scan, and its partitions where the table has them."""
+        return items.filter(F.col("session_id") == self.resolve(session))

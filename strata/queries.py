@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import scores as S, text as T
 from .operators import chunking, context, graph, lexical, memory, notes, parsing, vectors
-from .plans import chain, ingest, rag
+from .plans import chain, ingest, rag, tools
 from .sources import connectors, store
 
 NOW = "2024-02-01 00:00:00"
@@ -593,3 +593,81 @@ def working_stream_state(spark, d):
             spark.conf.unset(provider)
         else:
             spark.conf.set(provider, before)
+
+
+@query("SELECT 'memory' AS source, event_id AS pos, concat_ws(' ', event_type, props) AS content, coalesce(TRY_CAST(CASE WHEN event_id % 3 = 0 THEN 'x' WHEN event_id % 3 = 1 THEN '0.25' END AS DOUBLE), (event_id % 11) / 10.0) AS relevance, 'episodic' AS memory_type, floor(0.25 * length(concat_ws(' ', event_type, props)))::BIGINT AS token_count FROM events UNION ALL SELECT 'rag', doc_id, text, doc_id % 5 / 4.0, NULL, floor(0.25 * length(text))::BIGINT FROM documents")
+def gathered_packets(spark, d):
+    score = F.when(F.col("id") % 3 == 0, "x").when(F.col("id") % 3 == 1, "0.25")
+    items = items_of(spark, d).withColumns({"metadata": F.create_map(F.lit("score"), score), "type": F.lit("episodic"), "pos": F.col("id")})
+    hits = read(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.col("text").alias("content"), (F.col("doc_id") % 5 / 4).alias("score"))
+    return context.gather({"memory": context.memory_packets(items), "rag": context.rag_packets(hits)}).select("source", "pos", "content", "relevance", "memory_type", "token_count")
+
+
+@query("SELECT count(*)::BIGINT AS count FROM embeddings")
+def graph_node_count(spark, d):
+    return graph.node_count(read(spark, d, "embeddings"))
+
+
+@query("WITH " + BOTH + " SELECT DISTINCT u.id AS of, vec_id AS id, label FROM u JOIN embeddings ON vec_id = neighbour WHERE u.id IN (SELECT vec_id FROM embeddings WHERE label = 2)")
+def graph_neighbour_nodes(spark, d):
+    nodes = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    return graph.neighbour_nodes(nodes, edges_of(spark, d), nodes.filter("label = 2"))
+
+
+@query("WITH " + EDGES + ", g AS (SELECT vec_id AS id FROM embeddings WHERE label = 4) SELECT 'node' AS part, count(*)::BIGINT AS n FROM embeddings WHERE label <> 4 UNION ALL SELECT 'edge', count(*) FROM e WHERE source_id NOT IN (FROM g) AND target_id NOT IN (FROM g) UNION ALL SELECT 'point', count(*) FROM embeddings WHERE label <> 4")
+def semantic_delete(spark, d):
+    p = read(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
+    out = memory.semantic_delete(p.select("id"), edges_of(spark, d), p, p.filter("label = 4"))
+    parts = [x.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("part"), "n") for k, x in zip(("node", "edge", "point"), out)]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query("SELECT event_id::VARCHAR AS id, user_id::VARCHAR AS session_id, 'episodic' AS type, coalesce(TRY_CAST(CASE WHEN event_id % 4 = 0 THEN 'none' ELSE (event_id % 11)::VARCHAR END AS DOUBLE), 0) AS importance, 'summary=' || event_type || ',event_type=' || event_type AS metadata, CASE WHEN event_id % 5 > 0 THEN date_trunc('second', ts) END AS created_at FROM events")
+def stored_rows_as_items(spark, d):
+    e = read(spark, d, "events")
+    weight = F.when(F.col("event_id") % 4 == 0, "none").otherwise((F.col("event_id") % 11).cast("string"))
+    at = F.when(F.col("event_id") % 5 == 0, "some day").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    rows = e.select(F.col("event_id").alias("id"), F.col("user_id").alias("session_id"), F.col("props").alias("content"), F.col("event_type").alias("summary"), "event_type", weight.alias("importance"), at.alias("created_at"))
+    items = memory.episodes_as_items(memory.rows_as_episodes(rows))
+    meta = F.concat(F.lit("summary="), F.col("metadata")["summary"], F.lit(",event_type="), F.col("metadata")["event_type"])
+    return items.select("id", "session_id", "type", "importance", meta.alias("metadata"), F.col("created_at").cast("timestamp_ntz").alias("created_at"))
+
+
+@query("SELECT vec_id::VARCHAR AS id, 's' || label AS session_id, label / 10.0::DOUBLE AS importance, 'Concept,L' || label AS tags FROM embeddings")
+def nodes_as_items(spark, d):
+    e = read(spark, d, "embeddings")
+    props = F.create_map(F.lit("session_id"), F.concat(F.lit("s"), "label"), F.lit("importance"), (F.col("label") / 10).cast("string"))
+    nodes = e.select(F.col("vec_id").cast("string").alias("id"), F.array(F.lit("Concept"), F.concat(F.lit("L"), "label")).alias("tags"), props.alias("properties"))
+    return memory.semantics_as_items(memory.nodes_as_semantics(nodes)).select("id", "session_id", "importance", F.col("metadata")["tags"].alias("tags"))
+
+
+@query("SELECT event_id AS id FROM events WHERE user_id = 2")
+def session_items(spark, d):
+    s = memory.Sessions()
+    for name in ("1", "2", "3"):
+        s.add(name)
+    s.use("2")
+    return s.of(items_of(spark, d)).select("id")
+
+
+@query(MULTI.replace("q.vec_id < 4", "q.vec_id < 3") + "SELECT vec_id, round(sum(1 / (60.0 + rank + 1)), 8) AS rrf FROM r GROUP BY vec_id ORDER BY round(sum(1 / (60.0 + rank + 1)), 12) DESC, vec_id LIMIT 10")
+def recall_with_passage(spark, d):
+    # stand-ins for the models: the query, its one variant and the passage have the first three vectors
+    p = read(spark, d, "embeddings")
+    table = dict(p.filter("vec_id < 3").select(F.element_at(F.array(*map(F.lit, ("what", "which", "It is."))), (F.col("vec_id") + 1).cast("int")), "embedding").collect())  # three rows
+    found = rag.query_vectors("what", table.__getitem__, lambda q: ["1. which", "what"], lambda told, q: " It is. ")
+    return vectors.recall(p, found, 10, 0.2).select("vec_id", F.round("rrf", 8).alias("rrf"))
+
+
+@query("SELECT doc_id, length(text)::DOUBLE AS chars, (length(text) - length(replace(text, ' ', '')))::DOUBLE AS spaces FROM documents")
+def batched_embedding(spark, d):
+    embed = connectors.batched(lambda texts: [[len(t), t.count(" ")] for t in texts])
+    out = read(spark, d, "documents").select("doc_id", embed(F.col("text")).alias("v"))
+    return out.select("doc_id", F.col("v")[0].alias("chars"), F.col("v")[1].alias("spaces"))
+
+
+@query("WITH " + NOTES + " SELECT id, title, type FROM n WHERE contains(lower(title), 'th') OR contains(lower(content), 'th') ORDER BY updated_at DESC, id LIMIT 15")
+def note_action(spark, d):
+    r = chain.Registry()
+    r.register(tools.note_tool(notes_of(spark, d)))
+    return chain.Chain(r, [chain.Step("found", "note", {"action": "search", "query": "$input.text", "limit": 15})]).run(text="TH").select("id", "title", "type")

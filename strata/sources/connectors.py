@@ -65,6 +65,52 @@ def hashed_embedding(text: Column, width: int = 64) -> Column:
     return embed(text)
 
 
+#: Statuses after which a batch is not sent again.
+FINAL = (*range(400, 419), 421, 422, 423, 424, 425, 426, 428, 431, 451)
+
+
+def retried(call: Callable, batch: list, attempts: int = 3, wait: float = 1.0):
+    """call(batch), tried again after wait, 2 * wait, ... seconds unless the error names a final status."""
+    import time
+
+    for k in range(attempts):
+        try:
+            return call(batch)
+        except Exception as error:
+            if any(f"status {s}" in str(error) for s in FINAL):
+                raise
+            if k == attempts - 1:
+                raise RuntimeError(f"no vectors after {attempts} attempts: {error}") from error
+        time.sleep(wait * 2**k)
+
+
+def by_index(items: list[dict], n: int) -> list:
+    """The vectors of a service's answer, items(index, embedding) in any order, in the order of the n texts."""
+    out = [None] * n
+    for x in items:
+        out[x["index"]] = x["embedding"]
+    if any(v is None for v in out):
+        raise ValueError(f"{sum(v is None for v in out)} of {n} texts have no vector")
+    return out
+
+
+def batched(embed: Callable[[list[str]], list], size: int = 32, attempts: int = 3, wait: float = 1.0) -> Callable[[Column], Column]:
+    """A column function from a service that embeds lists of texts: `size` texts a call, a failed call tried again. Null is the empty text."""
+
+    def column(text: Column) -> Column:
+        @F.pandas_udf("array<double>")
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for s in batches:
+                texts, out = s.fillna("").tolist(), []
+                for i in range(0, len(texts), size):
+                    out += [list(map(float, v)) for v in retried(embed, texts[i : i + size], attempts, wait)]
+                yield pd.Series(out, dtype=object)
+
+        return run(text)
+
+    return column
+
+
 register("embedding", "hashed", lambda **o: lambda c: hashed_embedding(c, **o))
 
 
@@ -74,3 +120,12 @@ def expand_queries(query: str, lines: list[str], most: int = 3) -> list[str]:
 
     out = [re.sub(r"^[0-9. )\-、]+", "", x).strip() for x in lines]
     return [query, *[x for x in out if x and x != query][:most]]
+
+
+def hypothetical(query: str, model: Callable[[str, str], str]) -> str:
+    """A passage that would answer the query, by model(instruction, question); searched like another wording of the query."""
+    told = "Write a short factual passage, as from a textbook, that answers the question in its own language. Write nothing else."
+    passage = (model(told, query) or "").strip()
+    if not passage:
+        raise ValueError("the model gave no passage")
+    return passage

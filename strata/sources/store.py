@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types
 
 NAME = re.compile(r"^[A-Za-z0-9_]+$")
 
@@ -85,7 +86,7 @@ def decode(df: DataFrame, schemas: dict[str, str]) -> DataFrame:
 
 
 class Tables:
-    """A directory of Parquet tables. A table is replaced by writing a new version beside the old one and then naming it."""
+    """A directory of Parquet tables. A table is replaced by writing a new one beside it, whole, and then giving it the name."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -102,3 +103,65 @@ class Tables:
     def create(self, name: str, schema: str) -> None:
         """Nothing if the table is there."""
         self.spark.createDataFrame([], schema).write.mode("ignore").parquet(self.path(name))
+
+    def replace(self, name: str, df: DataFrame) -> None:
+        """df, which may be made from the table itself, takes its place."""
+        fresh = f"{self.root}/_{checked(name)}-{uuid.uuid4().hex}"
+        df.write.parquet(fresh)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        old, new = path(self.path(name)), path(fresh)
+        fs = new.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs.delete(old, True)
+        if not fs.rename(new, old):
+            raise OSError(f"{fresh} could not take the name {name!r}")
+        self.spark.catalog.refreshByPath(self.path(name))
+
+    def execute(self, statement: str) -> None:
+        """A statement that defines or changes; rows are not returned. For trusted callers only: the text runs as it is."""
+        self.spark.sql(statement)
+
+
+class Collection:
+    """Points (id, vector and payload columns) of one width in a table of tables, made if it is not there."""
+
+    def __init__(self, tables: Tables, name: str, width: int, payload: str = ""):
+        self.tables, self.name = tables, name
+        kinds = list(types.StructType.fromDDL(payload)) if payload else []
+        vector = types.StructField("vector", types.ArrayType(types.DoubleType()), True, {"width": width})
+        schema = types.StructType([types.StructField("id", types.StringType()), vector, *kinds])
+        tables.spark.createDataFrame([], schema).write.mode("ignore").parquet(tables.path(name))
+        self.width = self.points().schema["vector"].metadata["width"]
+        if self.width != width:
+            raise ValueError(f"the vectors of {name!r} have {self.width} numbers, not {width}")
+
+    def points(self) -> DataFrame:
+        return self.tables.read(self.name)
+
+    def upsert(self, new: DataFrame) -> None:
+        """A vector of another width, or none, fails the write and leaves the table as it was."""
+        wrong = F.raise_error(F.lit(f"a vector has not {self.width} numbers"))
+        new = new.withColumn("vector", F.when(F.size("vector") == self.width, F.col("vector")).otherwise(wrong.cast("array<double>")))
+        self._replace(upsert(self.points(), new, "id"))
+
+    def delete(self, ids: DataFrame) -> None:
+        self._replace(delete(self.points(), ids, "id"))
+
+    def _replace(self, df: DataFrame) -> None:
+        self.tables.replace(self.name, df.withMetadata("vector", {"width": self.width}))
+
+
+class Derived:
+    """What derive makes of a table (an index, say): made when it is asked for, held, and made anew only after a change."""
+
+    def __init__(self, derive: Callable[[DataFrame], DataFrame], source: DataFrame):
+        self.derive, self.source, self._made = derive, source, None
+
+    def change(self, source: DataFrame) -> None:
+        if self._made is not None:
+            self._made.unpersist()
+        self.source, self._made = source, None
+
+    def get(self) -> DataFrame:
+        if self._made is None:
+            self._made = self.derive(self.source).persist()
+        return self._made

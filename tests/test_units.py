@@ -7,7 +7,8 @@ from pyspark.sql import Row, functions as F
 
 from strata.functions import scores as S, text as T
 from strata.operators import chunking as C, context as X, graph as G, lexical as L, memory as M, parsing as P, vectors as V
-from strata.plans import chain, ingest
+from strata.config import Model
+from strata.plans import chain, ingest, rag, tools
 from strata.sources import connectors, store
 
 
@@ -200,3 +201,144 @@ def test_semantic_near_duplicate_searches_the_whole_collection(spark, tmp_path,
     assert [want[i] for i in range(70, 80)] == list(range(3, 13))
     got = {r.id: (r.kept_id, r.importance) for r in Q.semantic_near_duplicate(spark, str(tmp_path)).collect()}
     assert got == {i: (k, weight[k]) for i, k in want.items()}
+
+
+def test_tables_are_replaced_and_changed(spark, tmp_path):
+    tables = store.Tables(spark, str(tmp_path))
+    tables.write("a", spark.createDataFrame([(1, "x"), (2, "y")], "id long, v string"))
+    tables.replace("a", store.delete(tables.read("a"), spark.createDataFrame([(1,)], "id long"), "id"))
+    assert tables.read("a").collect() == [Row(id=2, v="y")]
+    tables.execute(f"CREATE OR REPLACE TEMPORARY VIEW executed AS SELECT id + 1 AS id FROM parquet.`{tables.path('a')}`")
+    assert spark.table("executed").collect() == [Row(id=3)]
+    with pytest.raises(ValueError):
+        tables.replace("../a", spark.range(1))
+
+
+def test_collection_holds_its_width(spark, tmp_path):
+    tables = store.Tables(spark, str(tmp_path))
+    c = store.Collection(tables, "c", 2, "label int")
+    kind = "id string, vector array<double>, label int"
+    c.upsert(spark.createDataFrame([("a", [1.0, 0.0], 1), ("b", [0.0, 1.0], 2)], kind))
+    c.upsert(spark.createDataFrame([("b", [0.0, 2.0], 3)], kind))
+    for bad in ([1.0], None):
+        with pytest.raises(Exception, match="has not 2 numbers"):
+            c.upsert(spark.createDataFrame([("z", bad, 1)], kind))
+    again = store.Collection(tables, "c", 2)
+    assert sorted(map(tuple, again.points().collect())) == [("a", [1.0, 0.0], 1), ("b", [0.0, 2.0], 3)]
+    with pytest.raises(ValueError):
+        store.Collection(tables, "c", 3)
+    again.delete(spark.createDataFrame([("a",)], "id string"))
+    assert [r.id for r in V.vector_search(again.points(), [0.0, 1.0], 5, column="vector", key="id").collect()] == ["b"]
+
+
+def test_derived_is_made_after_changes_only(spark):
+    made = []
+    d = store.Derived(lambda df: made.append(1) or df.filter("id > 1"), spark.range(3))
+    assert d.get().count() == 1 and d.get() is d.get() and len(made) == 1
+    d.change(spark.range(5))
+    assert d.get().count() == 3 and len(made) == 2
+
+
+def test_retries():
+    calls = []
+
+    def fails(message, times):
+        def call(batch):
+            calls.append(message)
+            if len(calls) <= times:
+                raise RuntimeError(message)
+            return batch
+
+        return call
+
+    assert connectors.retried(fails("status 429", 2), [1], wait=0) == [1] and len(calls) == 3
+    calls.clear()
+    with pytest.raises(RuntimeError, match="after 3 attempts"):
+        connectors.retried(fails("status 500", 9), [1], wait=0)
+    assert len(calls) == 3
+    calls.clear()
+    with pytest.raises(RuntimeError, match="status 401"):
+        connectors.retried(fails("status 401", 9), [1], wait=0)
+    assert len(calls) == 1
+    assert connectors.by_index([{"index": 1, "embedding": [2]}, {"index": 0, "embedding": [1]}], 2) == [[1], [2]]
+    with pytest.raises(ValueError):
+        connectors.by_index([{"index": 1, "embedding": [2]}], 2)
+
+
+def test_batched_embedding_sends_small_batches(spark):
+    embed = connectors.batched(lambda texts: [[len(texts), len(t)] for t in texts], 32)
+    out = spark.createDataFrame([("ab",)] * 40 + [(None,)], "t string").coalesce(1).select(embed(F.col("t")).alias("v")).collect()
+    assert [r.v for r in out] == [[32.0, 2.0]] * 32 + [[9.0, 2.0]] * 8 + [[9.0, 0.0]]
+
+
+def test_query_vectors():
+    got = rag.query_vectors("q", lambda t: [t], lambda q: ["1. a", "", "q"], lambda told, q: " passage\n")
+    assert got == {0: ["q"], 1: ["a"], 2: ["passage"]}
+    with pytest.raises(ValueError):
+        rag.query_vectors("q", lambda t: [t], passage=lambda told, q: " ")
+    with pytest.raises(ValueError):
+        rag.query_vectors("q", lambda t: [t], lambda q: ["q"])
+
+
+def test_item_codecs(spark):
+    rows = spark.createDataFrame([(None, None, "c", None, "x", "task", "today")], "id string, session_id string, content string, summary string, importance string, event_type string, created_at string")
+    e = M.rows_as_episodes(rows)
+    assert tuple(e.first()) == ("", "", "c", "", "task", 0.0, None)
+    e = e.withColumn("metadata", F.expr("map('summary', 'old', 'k', 'v')")).withColumn("relations", F.array(F.struct(F.lit("b").alias("target_id"), F.lit("next").alias("relation_type"))))
+    assert M.episodes_as_items(e).first().metadata == {"summary": "", "event_type": "task", "k": "v", "relations": '[{"target_id":"b","relation_type":"next"}]'}
+    n = M.nodes_as_semantics(spark.createDataFrame([("a", [], {"importance": "0.5"})], "id string, tags array<string>, properties map<string,string>"))
+    i = M.semantics_as_items(n).first()
+    assert (i.content, i.importance, i.metadata) == ("", 0.5, {"summary": ""})
+
+
+def test_sessions(spark):
+    s = M.Sessions()
+    with pytest.raises(KeyError):
+        s.resolve()
+    s.add("a")
+    s.add("b")
+    assert s.resolve() == "a" and s.resolve("b") == "b"
+    for bad in ("", "a"):
+        with pytest.raises(ValueError):
+            s.add(bad)
+    s.remove("a")
+    with pytest.raises(KeyError):
+        s.resolve()
+    s.use("b")
+    assert s.of(spark.createDataFrame([("a",), ("b",)], "session_id string")).collect() == [Row(session_id="b")]
+    with pytest.raises(KeyError):
+        s.use("a")
+
+
+def test_memory_packets(spark):
+    items = spark.createDataFrame([("a", {"score": "0.5"}), ("b", {"score": ""}), ("c", None)], "content string, metadata map<string,string>")
+    items = items.selectExpr("*", "timestamp'2024-01-01' AS created_at", "0.25D AS importance", "'semantic' AS type")
+    assert [r.relevance for r in X.memory_packets(items).orderBy("content").collect()] == [0.5, 0.25, 0.25]
+
+
+def test_note_actions(spark):
+    kind = "id string, title string, type string, tags array<string>, created_at timestamp, updated_at timestamp, content string"
+    notes = spark.createDataFrame([("n", "One", "general", ["x"], None, None, "first")], kind)
+    tool = tools.note_tool(notes)
+    run = lambda **a: tool.run(**tool.check(a))
+    assert run(action="create", title="t", content="c").count() == 2
+    assert run(action="update", note_id="n", title="Two").first().title == "Two"
+    assert run(action="read", note_id="n").first().content == "first"
+    assert run(action="delete", note_id="n").count() == 0
+    assert run(action="list").count() == run(action="search", query="ONE").count() == run(action="summary").count() == 1
+    with pytest.raises(Exception, match="not found"):
+        run(action="read", note_id="m").collect()
+    with pytest.raises(ValueError, match="unknown action: burn"):
+        run(action="burn")
+    memory = tools.memory_tool(lambda content, importance: (content, importance), lambda query, limit: (query, limit))
+    assert memory.run(**memory.check({"action": "add", "content": "x"})) == ("x", 0.0)
+    assert memory.run(**memory.check({"action": "search", "query": "x"})) == ("x", 10)
+    with pytest.raises(ValueError, match="query is required"):
+        memory.run(**memory.check({"action": "search"}))
+
+
+def test_settings_fall_back_to_the_environment(monkeypatch):
+    monkeypatch.setenv("MODEL_ID", "m")
+    monkeypatch.setenv("MODEL_API_KEY", "secret")
+    got = Model(api_key="own").from_environment()
+    assert (got.model_id, got.api_key, got.base_url) == ("m", "own", "") and "own" not in repr(got)
