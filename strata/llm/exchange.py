@@ -179,16 +179,54 @@ def places(ids: np.ndarray, ver: np.ndarray, pos: np.ndarray, bits: int, kind: i
     return out
 
 
+def gathered(batches, limit: int = 16 * PIECE):
+    """Record batches joined up to `limit` bytes: what is packed for each bucket then grows with the bytes of a task, not with its batches."""
+    held, size = [], 0
+    for rb in batches:
+        if held and size + rb.nbytes > limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(rb)
+        size += rb.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
+def dealt(bucket: np.ndarray, records: np.ndarray, kind: int = 0, size: np.ndarray | None = None, body=None, limit: int = 16 * PIECE) -> list[pa.RecordBatch]:
+    """Records, and the `size` bytes that body(their indices) has for each, as one row (a, c) for each bucket that occurs, in batches of
+    about `limit` bytes. Rows are slices of two buffers, so a row of one record costs no more than its bytes."""
+    from .kernels import pieces
+
+    order, out = np.argsort(bucket, kind="stable"), []
+    size = np.zeros(len(order), np.int64) if size is None else size[order]
+    for i, j in pieces(np.concatenate([[0], np.cumsum(size + records.itemsize)]), limit):
+        at, b = order[i:j], bucket[order[i:j]]
+        edge = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1], [True]]))
+        rows, none = len(edge) - 1, pa.nulls(len(edge) - 1, pa.binary())
+        slices = lambda to, raw: pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(to.astype(np.int32)), pa.py_buffer(raw)])
+        a = slices(edge * records.itemsize, records[at].tobytes())
+        c = none if body is None else slices(np.concatenate([[0], np.cumsum(size[i:j])])[edge], body(at))
+        out.append(pa.RecordBatch.from_arrays([pa.array(b[edge[:-1]], pa.int32()), pa.array(np.full(rows, kind, np.int32)), a, none, c, none, none], schema=PACKED_ARROW))
+    return out
+
+
+def records(packs: pa.Table, kind: np.dtype) -> np.ndarray:
+    """What dealt() put into column a."""
+    from .kernels import buffers
+
+    return buffers(packs.column("a"))[0].view(kind)
+
+
 def pack_texts(bits: int):
     """mapInArrow function: (doc_id, version, text) into compressed packs by the bucket of the document. Rows without doc_id are dealt by position."""
     from .kernels import buffers, ints, pieces
 
     def run(batches):
-        for rb in batches:
+        for rb in gathered(batches):
             ids, none = ints(rb.column(0))
             ver, _ = ints(rb.column(1))
             buf, off = buffers(rb.column(2))
-            for i, j in pieces(off, 8 * PIECE):
+            for i, j in pieces(off, 16 * PIECE):
                 rows, size = [], np.diff(off[i : j + 1])
                 for b, at in by_bucket(id_bucket(np.where(none[i:j], np.arange(i, j), ids[i:j]), bits, ver[i:j])):
                     body = b"".join(buf[off[i + k] : off[i + k + 1]].tobytes() for k in at)
@@ -210,11 +248,19 @@ class Marks:
     """What is known of each document: values by (doc_id, version), in the order of the position."""
 
     def __init__(self, packs: pa.Table, *columns: str):
-        cols = [np.concatenate([unpack_ints(x) for x in packs.column(c).to_pylist()]) if packs.num_rows else np.zeros(0, np.int64) for c in ("a", "v", *columns)]
+        self.sort(*(np.concatenate([unpack_ints(x) for x in packs.column(c).to_pylist()]) if packs.num_rows else np.zeros(0, np.int64) for c in ("a", "v", *columns)))
+
+    def sort(self, *cols: np.ndarray) -> Marks:
         order = np.lexsort((cols[2], cols[1], cols[0]))
         ids, ver, *self.values = (c[order] for c in cols)
         edge = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (ver[1:] != ver[:-1]), [True]])) if len(ids) else np.zeros(1, np.int64)
         self.where = dict(zip(zip(ids[edge[:-1]].tolist(), ver[edge[:-1]].tolist()), zip(edge[:-1].tolist(), edge[1:].tolist())))
+        return self
+
+    @classmethod
+    def of_records(cls, found: np.ndarray) -> Marks:
+        """Those of dealt() records, whose fields are doc_id, version, position and others."""
+        return cls.__new__(cls).sort(*(found[f].astype(np.int64) for f in found.dtype.names))
 
     def of(self, ids: np.ndarray, ver: np.ndarray, none: np.ndarray) -> list[tuple[int, int]]:
         """The range of values of each document; that of documents without doc_id is empty."""

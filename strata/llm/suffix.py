@@ -34,6 +34,10 @@ GRAM = 32
 #: Window starts that are hashed at a time; their arrays stay in a core's cache.
 BLOCK = 1 << 16
 MASK = np.uint64((1 << 21) - 1)
+#: Bits of a minimizer that travel, by which hot ones are told.
+TRAVELS = np.uint64((1 << 56) - 1)
+#: A run of removed windows, or of windows with one minimizer, as it travels. Starts are bytes of one text, below 2**31.
+RUN = np.dtype([("doc_id", "<i8"), ("version", "<i8"), ("start", "<u4"), ("n", "<u4")])
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
@@ -70,24 +74,27 @@ def segments(buf: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray,
 
 def hash_anchors(width: int, bits: int):
     def run(batches):
-        for rb in batches:
+        for rb in X.gathered(batches):
             ids, none = K.ints(rb.column(0))
             ver, _ = K.ints(rb.column(1))
             buf, off = K.buffers(rb.column(2))
+            found = []
             for i, j in K.pieces(off, X.PIECE):
-                base = off[i : j + 1] - off[i]
-                row, _, _, at, h = segments(buf[off[i] : off[j]], base, width)
+                row, _, _, at, h = segments(buf[off[i] : off[j]], off[i : j + 1] - off[i], width)
                 # one minimizer that two blocks share counts once
                 new = np.ones(len(at), bool)
                 new[1:] = at[1:] != at[:-1]
                 ok = new & ~none[i:j][row]
-                row, at, h = row[ok], at[ok], h[ok]
-                rows = []
-                for b, k in X.by_bucket(X.top_bits(h, bits)):
-                    change = np.flatnonzero(np.diff(row[k], prepend=-1))
-                    rows.append((b, 0, X.pack_ints(ids[i:j][row[k]][change]), X.pack_ints(np.diff(np.append(change, len(k)))), X.pack_ints(at[k] - base[row[k]] + (row[k] << 32)), X.pack_hashes(h[k]), X.pack_ints(ver[i:j][row[k]][change])))
-                if rows:
-                    yield X.batch(rows)
+                found.append((row[ok] + i, at[ok] + off[i], h[ok]))
+            if not found:
+                continue
+            row, at, h = (np.concatenate(x) for x in zip(*found))
+            rows = []
+            for b, k in X.by_bucket(X.top_bits(h, bits)):
+                change = np.flatnonzero(np.diff(row[k], prepend=-1))
+                rows.append((b, 0, X.pack_ints(ids[row[k]][change]), X.pack_ints(np.diff(np.append(change, len(k)))), X.pack_ints(at[k] - off[row[k]] + (row[k] << 32)), X.pack_hashes(h[k]), X.pack_ints(ver[row[k]][change])))
+            if rows:
+                yield X.batch(rows)
 
     return run
 
@@ -113,27 +120,27 @@ def repeated(id_bits: int, hot: int):
     return run
 
 
-def spans(ids: np.ndarray, ver: np.ndarray, start: np.ndarray, n: np.ndarray, id_bits: int) -> list[tuple]:
-    """Runs of n removed windows each as packed rows by the bucket of the document; touching runs of a document merge."""
-    if not len(ids):
-        return []
+def as_records(ids: np.ndarray, ver: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    out = np.empty(len(ids), RUN)
+    out["doc_id"], out["version"], out["start"], out["n"] = ids, ver, start, n
+    return out
+
+
+def spans(ids: np.ndarray, ver: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Records of runs of n removed windows each; touching runs of a document merge."""
     order = np.lexsort((start, ver, ids))
     ids, ver, start, end = ids[order], ver[order], start[order], (start + n)[order]
     new = np.ones(len(ids), bool)
     new[1:] = (ids[1:] != ids[:-1]) | (ver[1:] != ver[:-1]) | (start[1:] > end[:-1])
     k = np.flatnonzero(new)
-    ids, ver, start, n = ids[k], ver[k], start[k], np.maximum.reduceat(end, k) - start[k]
-    return [(b, 1, X.pack_ints(ids[at]), X.pack_ints(start[at]), X.pack_ints(n[at]), None, X.pack_ints(ver[at])) for b, at in X.by_bucket(X.id_bucket(ids, id_bits, ver))]
-
+    return as_records(ids[k], ver[k], start[k], (np.maximum.reduceat(end, k) if len(k) else end) - start[k])
 
-def collapse(ids, ver, start, n, h, id_bits):
-    """Indices of the earliest of equal segments, and the removals that all others are. Equal segments have equal n."""
-    keep, later = earliest(h, ids, ver, start)
-    return np.sort(keep), spans(ids[later], ver[later], start[later], n[later], id_bits)
 
+def cut_segments(width: int, bits: int, hot: np.ndarray):
+    """Texts of one bucket of documents and the places in them: the segments at these places, one row for each bucket of minimizers (kind 0),
+    and the removals among equal ones, which all lie in these documents (kind 1)."""
 
-def cut_segments(width: int, bits: int, id_bits: int, hot: np.ndarray):
-    def cut_piece(own, ver, buf, off, some, pos, at_marks) -> list[tuple]:
+    def cut_piece(own, ver, buf, off, some, pos, at_marks, home: int) -> list[pa.RecordBatch]:
         sub = np.concatenate([buf[off[k] : off[k + 1]] for k in some.tolist()])
         base = np.concatenate([[0], np.cumsum((off[1:] - off[:-1])[some])])
         row, start, n, at, h = segments(sub, base, width)
@@ -143,7 +150,7 @@ def cut_segments(width: int, bits: int, id_bits: int, hot: np.ndarray):
             want[p[p < base[r + 1]]] = True
         ok = want[at]
         row, start, n, h = row[ok], start[ok], n[ok], h[ok]
-        single = np.isin(h, hot)
+        single = np.isin(h & TRAVELS, hot)
         if single.any():
             r, s, c = row[single], start[single], n[single]
             s = np.repeat(s, c) + K.ranges(c)
@@ -153,29 +160,27 @@ def cut_segments(width: int, bits: int, id_bits: int, hot: np.ndarray):
             return []
         doc, alt, rel = own[some][row], ver[some][row], start - base[row]
         name = K.spans_hash(sub, start, start + n + width - 1) ^ K.mix(h)
-        keep, gone = collapse(doc, alt, rel, n, name, id_bits)
-        rows = [(r[0] & (1 << bits) - 1, *r[1:5], X.pack_ints(np.array([r[0]])), r[6]) for r in gone]
-        for b, k in X.by_bucket(X.top_bits(h[keep], bits)):
-            k = keep[k]
-            size = n[k] + width - 1
-            body = sub[np.repeat(start[k], size) + K.ranges(size)]
-            rows.append((b, 0, X.pack_ints(doc[k]), X.pack_ints(rel[k]), X.pack_ints(n[k]), X.squeeze(body), X.pack_ints(alt[k])))
-        return rows
+        keep, later = earliest(name, doc, alt, rel)
+        keep.sort()
+        gone = spans(doc[later], alt[later], rel[later], n[later])
+        size, first = n[keep] + width - 1, start[keep]
+        body = lambda k: sub[np.repeat(first[k], size[k]) + K.ranges(size[k])]
+        return X.dealt(np.full(len(gone), home), gone, 1) + X.dealt(X.top_bits(h[keep], bits), as_records(doc[keep], alt[keep], rel[keep], n[keep]), 0, size, body)
 
     def run(texts: pa.Table, marks: pa.Table) -> pa.Table:
-        marked, rows = X.Marks(marks, "b"), []
-        pos = marked.values[0]
-        if not len(pos):
-            return X.table(rows)
-        for own, ver, none, buf, off in X.unpack_texts(texts):
+        marked, out = X.Marks(marks, "b"), []
+        packs = list(X.unpack_texts(texts)) if len(marked.values[0]) else []
+        if packs:
+            home = texts.column("bucket")[0].as_py()
+            own, ver, none, buf, size = (np.concatenate(x) for x in zip(*((own, ver, none, buf, np.diff(off)) for own, ver, none, buf, off in packs)))
+            del packs
+            off = np.concatenate([[0], np.cumsum(size)])
             at_marks = marked.of(own, ver, none)
             some = np.flatnonzero([hi > lo for lo, hi in at_marks])
-            if not len(some):
-                continue
-            size = np.concatenate([[0], np.cumsum((off[1:] - off[:-1])[some])])
-            for p, q in K.pieces(size, X.PIECE):
-                rows += cut_piece(own, ver, buf, off, some[p:q], pos, at_marks)
-        return X.table(rows)
+            held = np.concatenate([[0], np.cumsum(size[some])])
+            for p, q in K.pieces(held, 4 * X.PIECE):
+                out += cut_piece(own, ver, buf, off, some[p:q], marked.values[0], at_marks, home)
+        return pa.Table.from_batches(out, X.PACKED_ARROW)
 
     return run
 
@@ -260,19 +265,17 @@ def adjacent_prefixes(text: np.ndarray, order: np.ndarray, width: int, block: in
 
 def resolve(width: int, id_bits: int):
     def run(packs: pa.Table) -> pa.Table:
-        rows, parts = [], []
-        for kind, a, b, c, h, v in zip(*(packs.column(n).to_pylist() for n in ("kind", "a", "b", "c", "h", "v"))):
-            if kind:
-                rows.append((int(X.unpack_ints(h)[0]), 1, a, b, c, None, v))
-            else:
-                parts.append((X.unpack_ints(a), X.unpack_ints(v), X.unpack_ints(b), X.unpack_ints(c), np.frombuffer(X.expand(h), np.uint8)))
-        if not parts:
-            return X.table(rows)
-        ids, ver, start, n, body = (np.concatenate(x) for x in zip(*parts))
+        through = packs.filter(pc.equal(packs.column("kind"), 1))
+        packs = packs.filter(pc.equal(packs.column("kind"), 0))
+        if not packs.num_rows:
+            return through
+        held, (body, _) = X.records(packs, RUN), K.buffers(packs.column("c"))
+        ids, ver, start, n = (held[f].astype(np.int64) for f in RUN.names)
         size = n + width - 1
         first = np.cumsum(size) - size
-        keep, gone = collapse(ids, ver, start, n, K.spans_hash(body, first, first + size), id_bits)
-        rows += gone
+        keep, later = earliest(K.spans_hash(body, first, first + size), ids, ver, start)
+        keep.sort()
+        gone = [(ids[later], ver[later], start[later], n[later])]
         ids, ver, start, n, size, first = ids[keep], ver[keep], start[keep], n[keep], size[keep], first[keep]
         text = np.zeros(int(size.sum()) + len(size), np.uint16)
         to = np.cumsum(size + 1) - size - 1
@@ -286,16 +289,17 @@ def resolve(width: int, id_bits: int):
         many[same] = True
         many[:-1] |= same[1:]
         _, later = earliest(group[many], own[many], alt[many], pos[many])
-        own, alt, pos = own[many][later], alt[many][later], pos[many][later]
-        rows += spans(own, alt, pos, np.ones(len(own), np.int64), id_bits)
-        return X.table(rows)
+        gone.append((own[many][later], alt[many][later], pos[many][later], np.ones(len(later), np.int64)))
+        gone = spans(*(np.concatenate(x) for x in zip(*gone)))
+        rows = X.dealt(X.id_bucket(gone["doc_id"], id_bits, gone["version"]), gone, 1)
+        return pa.concat_tables([through, pa.Table.from_batches(rows, X.PACKED_ARROW)])
 
     return run
 
 
 def strip(width: int):
     def run(texts: pa.Table, marks: pa.Table) -> pa.Table:
-        marked = X.Marks(marks, "b", "c")
+        marked = X.Marks.of_records(X.records(marks, RUN))
         pos, n = marked.values
         out = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept")}
         for own, ver, none, buf, off in X.unpack_texts(texts):
@@ -323,10 +327,11 @@ def dedup_bytes(docs: DataFrame, width: int = 100, hot: int = 100_000) -> DataFr
     docs, size = X.versioned(docs)
     bits = X.bits_for(size)
     hot = max(hot, size * 4 // (width - GRAM) // 65_536)
-    found = X.cut(docs.mapInArrow(hash_anchors(width, bits), X.PACKED).groupBy("bucket").applyInArrow(repeated(bits, hot), X.PACKED))
+    # an anchor is few bytes: its buckets stand for 32 MB of text, so rows from buckets of anchors to those of documents stay long
+    found = X.cut(docs.mapInArrow(hash_anchors(width, max(3, bits - 2)), X.PACKED).groupBy("bucket").applyInArrow(repeated(bits, hot), X.PACKED))
     hottest = [np.frombuffer(r["h"], "<u8") for r in found.filter("kind = 2").select("h").collect()]
     hottest = np.concatenate(hottest) if hottest else np.zeros(0, np.uint64)
     texts = docs.mapInArrow(X.pack_texts(bits), X.PACKED)
-    cuts = texts.groupBy("bucket").cogroup(found.filter("kind = 1").groupBy("bucket")).applyInArrow(cut_segments(width, bits + 3, bits, hottest), X.PACKED)
+    cuts = texts.groupBy("bucket").cogroup(found.filter("kind = 1").groupBy("bucket")).applyInArrow(cut_segments(width, bits + 3, hottest), X.PACKED)
     marks = cuts.groupBy("bucket").applyInArrow(resolve(width, bits), X.PACKED)
     return texts.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(strip(width), OUT)

@@ -9,10 +9,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from strata.llm import decontam, exact, kernels as K, langid, lm, mixing, neardup, substring, suffix, toxicity, urls
+from strata.llm import decontam, exact, exchange, kernels as K, langid, lm, mixing, neardup, substring, suffix, toxicity, urls
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bucket int, kind string, size string"
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
@@ -90,6 +91,35 @@ def test_suffix(docs, rows, none, hot):
     assert suffix.dedup_bytes(none).count() == 0
 
 
+def suffix_parts(hot: int):
+    """(batches, rows of anchors, hot minimizers, rows of segments): 40 texts that share passages, each a batch of its own."""
+    rng = random.Random(5)
+    shared = " ".join(f"s{rng.randint(0, 10**6)}" for _ in range(200))
+    batches = [pa.record_batch({"doc_id": [i], "version": pa.array([0], pa.int64()), "text": [f"{rng.random()} {shared} {rng.random()}"]}) for i in range(40)]
+    anchors = pa.Table.from_batches(list(suffix.hash_anchors(100, 3)(iter(batches))))
+    group = lambda t, b: t.filter(pc.equal(t.column("bucket"), b))
+    found = pa.concat_tables([suffix.repeated(3, hot)(group(anchors, b)) for b in pc.unique(anchors.column("bucket")).to_pylist()])
+    hottest = np.concatenate([np.frombuffer(h, "<u8") for h in found.filter(pc.equal(found.column("kind"), 2)).column("h").to_pylist()] or [np.zeros(0, "<u8")])
+    texts = pa.Table.from_batches([x for b in batches for x in exchange.pack_texts(3)(iter([b]))])
+    found = found.filter(pc.equal(found.column("kind"), 1))
+    cuts = [suffix.cut_segments(100, 6, hottest)(group(texts, b), group(found, b)) for b in pc.unique(texts.column("bucket")).to_pylist()]
+    return batches, anchors, hottest, cuts
+
+
+def test_suffix_rows_follow_bytes_not_batches():
+    batches, anchors, _, cuts = suffix_parts(100_000)
+    assert anchors.num_rows <= 8 < len(batches)
+    for t in cuts:
+        t = t.filter(pc.equal(t.column("kind"), 0))
+        assert t.num_rows and t.num_rows == len(pc.unique(t.column("bucket")))
+
+
+def test_suffix_sends_windows_of_hot_minimizers_one_by_one():
+    *_, hottest, cuts = suffix_parts(2)
+    sent = np.concatenate([exchange.records(t.filter(pc.equal(t.column("kind"), 0)), suffix.RUN) for t in cuts])
+    assert len(hottest) and len(sent) and (sent["n"] == 1).all()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.binary(min_size=5, max_size=40).map(lambda b: bytes(x % 3 for x in b)), min_size=1, max_size=6))
 def test_two_stage_sort(parts):
